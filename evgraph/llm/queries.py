@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from evgraph.llm import exact_dedup, language_id, mixing, packing, simhash
+from evgraph.llm import chat, cross_polytope, exact_dedup, language_id, line_dedup, mixing, packing, sharding, simhash
 
 QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_packing": packing.op6_packing,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language_id.op8_language_id,
+    "op9_embedding_near_dedup": cross_polytope.op9_embedding_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
-ORACLE_SQL = {"op10_exact_dedup": exact_dedup.OP10_SQL}
+ORACLE_SQL = {
+    "op4_chat_formatting": chat.OP4_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
+    "op10_exact_dedup": exact_dedup.OP10_SQL,
+}
