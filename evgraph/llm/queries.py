@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from evgraph.llm import chat, cross_polytope, exact_dedup, language_id, line_dedup, mixing, packing, sharding, simhash
+from evgraph.llm import chat, cross_polytope, exact_dedup, html_extract, language_id, line_dedup, mixing, packing, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_html_extraction": html_extract.op3_html_extraction,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_packing": packing.op6_packing,
