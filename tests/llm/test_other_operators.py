@@ -1,0 +1,268 @@
+"""HTML extraction, chat formatting, language identification, vectors and the pipeline."""
+
+import sys
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from evgraph.llm import byte_gru, chat, cross_polytope, html_extract, language_id
+from evgraph.llm.queries import ORACLE_SQL, QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+
+# HTML
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        (None, ""), ("", ""), ("plain", "plain"), ("a &amp; &eacute; &#233; &bogus; &", "a & é é &bogus; &"),
+        ("<p>a<br>b</p><script>x = '</p><p>no'</script><!-- <p>c</p> --><p>d &lt;e&gt;", "a b d <e>"),
+        ("<body><nav><p>no</p></nav><div class='side-menu'>no</div><div>yes <b>bo</b>ld\n\n text</div><footer>no</footer>", "yes bold text"),
+        ("<article><header><h1>T</h1></header><p>x<p>y<aside>no</aside><form>no</form><section id=comments>no</section></article>after", "T x y"),
+        ("<main><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></main><p>no", "a b c d"),
+        ("<div><p><b>open<br><p>next</div>", "open next"), ("<style>x", ""), ("<p title='a>b'>in</p>", "in"), ("a < b and <3", "a < b and <3"),
+        ("<textarea>no</textarea><button>no</button><p hidden>no</p><p aria-hidden=true>no</p><div role=navigation>no</div>x", "x"),
+        ("<p>" + "w " * 50_000, ("w " * 50_000).strip()), ("</p></div>x</b>", "x"), ("<p>cut &am", "cut &am"),
+        ("<!DOCTYPE html><html><head><title>no</title></head><body><p>x</p></body>", "x"), ("<p>ad</p><div class='thread bread'>kept</div>", "ad kept"),
+    ],
+)
+def test_main_text(source, text):
+    assert html_extract.main_texts([source]) == [text]
+
+
+def test_what_pages_of_a_host_share_is_template():
+    page = "<body><div><p>Welcome to the site</p></div><div><h2>{0} title</h2><p>{0} is a long text about {0} and {0} again.</p></div><div>All rights</div></body>"
+    names = ["ant", "bee", "cat", "dog"]
+    assert html_extract.main_texts([page.format(n) for n in names]) == [f"{n} title {n} is a long text about {n} and {n} again." for n in names]
+    copies = html_extract.main_texts([page.format("ant")] * 9)
+    assert copies == ["Welcome to the site ant title ant is a long text about ant and ant again. All rights"] * 9
+
+
+def brute_matching(a, b):
+    if a.tag != b.tag:
+        return 0
+    xs, ys = a.children(), b.children()
+    m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, x in enumerate(xs):
+        for j, y in enumerate(ys):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + brute_matching(x, y))
+    return 1 + m[-1][-1]
+
+
+def test_tree_matching_is_maximal():
+    rng = np.random.default_rng(0)
+
+    def tree(depth):
+        kids = [tree(depth - 1) for _ in range(rng.integers(0, 5))] if depth else []
+        return html_extract.Node(str(rng.choice(list("abc"))), parts=kids, size=1 + sum(k.size for k in kids))
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        pairs = html_extract.match_trees(a, b)
+        assert len(pairs) == brute_matching(a, b) and all(x.tag == y.tag for x, y in pairs)
+        assert len({id(x) for x, _ in pairs}) == len(pairs) == len({id(y) for _, y in pairs})
+
+
+def test_pages_table(spark, write_tables):
+    schema = "page_id long, url string, html string, host string, text int"
+    rows = [(i, f"http://h{i % 2}.example/{i}", f"<article><p>text {i}</p></article>", "x", 1) for i in range(150)]
+    rows += [(150, None, "<p>no url</p>", "x", 1), (151, "http://h0.example/n", None, "x", 1), (None, "http://h0.example/n", "<p>null id", "x", 1)]
+    rows += [rows[0], rows[0]]
+    at = write_tables(pages=spark.createDataFrame(rows, schema).repartition(4))
+    out = QUERIES["op3_html_extraction"](spark, at).collect()
+    want = {i: f"text {i}" for i in range(150)} | {150: "no url", 151: "", None: "null id"}
+    assert Counter((r["page_id"], r["text"]) for r in out) == Counter((r[0], want[r[0]]) for r in rows)
+    assert all(r["n_chars"] == len(r["text"]) for r in out)
+    assert QUERIES["op3_html_extraction"](spark, write_tables(pages=spark.createDataFrame([], schema))).count() == 0
+
+
+# Chats
+
+
+def brute_chats(rows):
+    convs = {}
+    for conv, turn, role, text in sorted(rows, key=lambda r: [(x is not None, x) for x in r]):
+        convs.setdefault(conv, []).append((role, text))
+    kept = {}
+    for conv, turns in convs.items():
+        longer = any(len(o) > len(turns) and o[: len(turns)] == turns for o in convs.values())
+        same = [c for c, o in convs.items() if o == turns]
+        if not longer and conv == min(same, key=lambda c: (c is None, c or 0)):
+            shown = "".join(f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n" for r, t in turns)
+            kept[conv] = (len(turns), len(same), shown)
+    return kept
+
+
+def test_snapshots_collapse(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for conv in range(120):
+        line = int(rng.integers(0, 8))
+        for turn in range(int(rng.integers(1, 7))):
+            rows.append((conv, turn, ["user", "assistant"][turn % 2], f"line {line} turn {turn}"))
+    rows += [(200, 0, None, "a"), (201, 0, "user", None), (202, None, "user", "n"), (202, 1, "user", ""), (203, None, "user", "n"), (None, 0, "user", "no id")]
+    rows += [(300, 0, "user", "twice"), (300, 0, "user", "twice"), (301, 0, "user", "twice"), (302, 0, "user", "x" * 100_000)]
+    schema = "conv_id long, turn long, role string, text string, place int, n_turns int, h1 int"
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], schema).repartition(5)
+    got = {r["conv_id"]: (r["n_turns"], r["copies"], r["text"]) for r in chat.format_chats(df).collect()}
+    assert got == brute_chats(rows)
+    assert chat.format_chats(df.where("false")).count() == 0
+
+
+# Languages
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(0)
+    model = byte_gru.ByteGru.new(["a", "b", "c"], 4, rng)
+    model.params = [p.astype(np.float64) for p in model.params]
+    seqs, labels, weights = rng.integers(0, 256, (5, 6)).astype(np.uint8), rng.integers(0, 3, 5), rng.random(5)
+    _, grads = model.gradients(seqs, labels, weights)
+    for p, g in zip(model.params, grads):
+        for _ in range(4):
+            at = tuple(rng.integers(0, s) for s in p.shape) if p.shape[0] != 256 else (seqs[rng.integers(5), rng.integers(6)], rng.integers(p.shape[1]))
+            old, losses = p[at], []
+            for step in (1e-5, -1e-5):
+                p[at] = old + step
+                losses.append(model.gradients(seqs, labels, weights)[0])
+            p[at] = old
+            assert g[at] == pytest.approx((losses[0] - losses[1]) / 2e-5, abs=2e-5)
+
+
+def test_held_out_accuracy_and_contract(spark):
+    out = QUERIES["op8_language_id"](spark, SF_DIR)
+    truth = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang")
+    rows = out.join(truth, "doc_id").where("held_out").collect()
+    assert len(rows) > 20 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_undetermined_texts_and_tables_without_labels(spark, docs, no_docs, write_tables, doc_rows):
+    out = QUERIES["op8_language_id"](spark, write_tables(documents=docs)).collect()
+    assert len(out) == len(doc_rows)
+    texts = {r[0]: r[1] for r in doc_rows if r[0] is not None}
+    for r in out:
+        if r["doc_id"] in texts:
+            none = texts[r["doc_id"]] is None or not any(c.isalpha() for c in texts[r["doc_id"]])
+            assert (r["lang_pred"] == "und") == none
+    assert QUERIES["op8_language_id"](spark, write_tables(documents=no_docs)).count() == 0
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in QUERIES["op8_language_id"](spark, write_tables(documents=unlabelled)).collect()} == {"und"}
+
+
+def test_nothing_is_learned_from_held_out_documents(spark, docs):
+    secret = docs.withColumn("text", F.when(language_id.held_out(F.col("doc_id")), "secretword").otherwise(F.col("text")))
+    words = language_id.sample_words(secret)
+    assert len(words) and "secretword" not in set(words["word"])
+    assert words.groupby("lang").size().max() <= language_id.Training().words_per_label
+
+
+# Vectors
+
+
+def brute_links(vectors):
+    ids = [i for i, v in vectors if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    unit = {i: np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64)) for i, v in vectors if i in set(ids)}
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
+    return pairs
+
+
+def check_vectors(spark, vectors, recall=1.0, **options):
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, label int, node int").repartition(3)
+    out = {r["vec_id"]: r for r in cross_polytope.group_vectors(df, **options).collect()}
+    pairs = brute_links(vectors)
+    links = Counter(x for p in pairs for x in p)
+    assert set(out) == {i for i, _ in vectors}
+    assert all(r["n_links"] <= links[i] for i, r in out.items())
+    assert sum(r["n_links"] for r in out.values()) >= recall * sum(links.values())
+    if recall == 1.0:
+        root = {i: i for i, _ in vectors}
+        for _ in range(len(vectors)):
+            changed = False
+            for a, b in pairs:
+                low = min(root[a], root[b])
+                changed |= root[a] != low or root[b] != low
+                root[a] = root[b] = low
+            if not changed:
+                break
+        assert {i: r["component_id"] for i, r in out.items()} == root
+
+
+def test_vectors_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 48))
+    near = [base[i % 10] + rng.normal(size=48) * 0.12 for i in range(200)]
+    vectors = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate([*base, *near])]
+    vectors += [(1000 + i, vectors[i % 7][1]) for i in range(30)]
+    vectors += [(2000, None), (2001, []), (2002, [0.0] * 48), (2003, [float("nan")] * 48), (2004, [None] * 48), (2005, [float("inf"), *[1.0] * 47])]
+    vectors += [(2006, [1.0, 2.0]), (2007, [2.0, 4.0]), (2008, [1.0]), (2009, [3.0]), (2010, [-3.0]), (2011, [1e-30, 2e-30])]
+    check_vectors(spark, vectors, hashing=cross_polytope.Hashing(1, 12))
+    check_vectors(spark, vectors, hashing=cross_polytope.Hashing(1, 12), bucket_rows=3)
+
+
+def test_recall_at_the_least_cosine(spark):
+    """Pairs just above the bound are the hardest."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(2000):
+        a = rng.normal(size=64)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=64)
+        b -= (b @ a) * a
+        c = 0.951
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)).tolist())]
+    check_vectors(spark, rows, recall=0.95)
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert cross_polytope.group_vectors(df).count() == 0
+
+
+def test_hadamard_keeps_lengths():
+    x = np.random.default_rng(1).normal(size=(3, 16))
+    y = cross_polytope._hadamard(x)
+    assert np.allclose(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) and np.allclose(cross_polytope._hadamard(y), x)
+
+
+# The pipeline and the queries' SQL
+
+
+@pytest.fixture(scope="module")
+def pipeline():
+    sys.path.insert(0, str(Path(__file__).parents[2]))
+    import corpus_pipeline
+
+    return corpus_pipeline
+
+
+def test_pipeline_stages(spark, docs, no_docs, pipeline, write_tables):
+    current = docs
+    for name, stage in pipeline.STAGES[:-1]:
+        kept = stage(spark, current, "")
+        assert kept.columns == docs.columns, name
+        current = spark.createDataFrame(kept.collect(), docs.schema)
+    ids = {r["doc_id"] for r in current.collect()}
+    assert 63 not in ids and 0 in ids
+    pieces = pipeline.run(spark, write_tables(documents=docs)).collect()
+    assert {r["doc_id"] for r in pieces} == ids
+    assert pipeline.run(spark, write_tables(documents=no_docs)).count() == 0
+
+
+def test_pipeline_keeps_clean_documents(spark, pipeline):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    assert pipeline.STAGES[0][1](spark, docs, SF_DIR).count() >= 0.99 * docs.count()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_agrees_with_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
+    ours, theirs = QUERIES[name](spark, SF_DIR).toPandas(), con.sql(ORACLE_SQL[name]).df()
+    columns = sorted(theirs.columns)
+    assert sorted(ours.columns) == columns
+    as_rows = lambda df: sorted(tuple(map(str, r)) for r in df[columns].astype(object).values.tolist())
+    assert as_rows(ours) == as_rows(theirs)
