@@ -23,6 +23,9 @@ from evgraph.llm.common import WS, read_table
 UNDETERMINED = "und"
 #: Longer words are read in pieces of so many bytes.
 PIECE = 32
+#: Pieces that the network reads at once, and code points of text whose words are gathered at once (one text at least).
+PASS_PIECES = 2048
+PASS_CHARS = 1 << 21
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -89,8 +92,8 @@ def _evidence(model: ByteGru, words: list[bytes]) -> np.ndarray:
             texts.append(piece)
     for n, (owners, texts) in pieces.items():
         seqs = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, n)
-        for at in range(0, len(seqs), 16384):
-            np.add.at(total, owners[at : at + 16384], model.log_probs(seqs[at : at + 16384]).sum(axis=0))
+        for at in range(0, len(seqs), PASS_PIECES):
+            np.add.at(total, owners[at : at + PASS_PIECES], model.log_probs(seqs[at : at + PASS_PIECES]).sum(axis=0))
     return total / np.fromiter(map(len, words), np.float64, len(words))[:, None]
 
 
@@ -115,13 +118,26 @@ def predict(model: ByteGru | None, texts: list[str | None]) -> tuple[list[str],
     return names, scores
 
 
+def _in_passes(texts: pd.Series) -> Iterator[list[str | None]]:
+    """The texts in lists of about PASS_CHARS, so that what is held at once does not follow the batch."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text)
+        held += len(text or "")
+        if held >= PASS_CHARS:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def predict_languages(texts: Column, model: ByteGru | None) -> Column:
     """Struct of ``lang_pred`` and ``score`` for a column of whole texts."""
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [predict(model, batch[at : at + 1000].tolist()) for at in range(0, len(batch), 1000)]
+            parts = [predict(model, part) for part in _in_passes(batch)]
             yield pd.DataFrame(
                 {
                     "lang_pred": [name for names, _ in parts for name in names],
