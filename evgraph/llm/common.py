@@ -45,6 +45,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def note(spark: SparkSession, path: str, name: str, value: int | None = None) -> int | None:
+    """A number kept with the table at ``path``, as the name of a folder that readers of the table pass over; sets or finds it."""
+    p, fs = _hadoop_path(spark, path)
+    if value is not None:
+        fs.mkdirs(_hadoop_path(spark, f"{path}/_{name}_{value}")[0])
+        return value
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return next((int(x.rpartition("_")[2]) for x in names if x.startswith(f"_{name}_")), None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/evgraph-{name}-{uuid.uuid4().hex}"

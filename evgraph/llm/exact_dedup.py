@@ -13,7 +13,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import WS, fresh_path, lookup, materialize, read_table
+from evgraph.llm.common import WS, fresh_path, lookup, materialize, note, read_table
+
+#: Digests of the first batch that make a bucket, and the fewest buckets.
+BUCKET_DIGESTS = 4 << 20
+MIN_BUCKETS = 8
 
 
 def normalized(text: Column) -> Column:
@@ -26,16 +30,30 @@ def text_sha256(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Digests seen so far, kept at ``path``; a later session opens the same path again."""
+    """Digests seen so far, kept at ``path``; a later session opens the same path again.
+
+    The number of buckets stays as it was fixed: by ``buckets``, else by the size of the first batch. Give it
+    for an index that will outgrow its first batch by far.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path, self.buckets = spark, path, note(spark, path, "buckets")
         self.table = f"digest_index_{hashlib.md5(path.encode()).hexdigest()}"
-        spark.sql(
+        if self.buckets or buckets:
+            self._open(self.buckets or buckets)
+
+    def _open(self, buckets: int) -> None:
+        self.buckets = note(self.spark, self.path, "buckets", buckets)
+        self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, first_id BIGINT, batch STRING) "
-            f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def prepare(self, digests: int) -> None:
+        """Fix the number of buckets for a first batch of so many digests."""
+        if not self.buckets:
+            self._open(max(MIN_BUCKETS, -(-digests // BUCKET_DIGESTS)))
+
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -77,6 +95,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
         ),
         "digest-groups",
     )
+    index.prepare(groups.count())
     index.append(index.missing(groups), batch)
     known = index.read().select("digest", F.col("first_id").alias("keep_id"), "batch").hint("merge")
     groups = groups.drop("first_id").join(known, "digest")

@@ -100,6 +100,19 @@ def test_index_outlives_the_batch(spark, docs, no_docs):
     assert "SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_index_is_sized_by_its_first_batch_and_keeps_its_buckets(spark, docs):
+    path = fresh_path(spark, "index")
+    first = exact_dedup.DigestIndex(spark, path)
+    n = exact_dedup.deduplicate(docs, first).where("kept").count()
+    assert first.buckets == exact_dedup.MIN_BUCKETS
+    again = exact_dedup.DigestIndex(spark, path, 3)
+    assert again.buckets == exact_dedup.MIN_BUCKETS and again.read().count() == n
+    assert exact_dedup.deduplicate(docs, again).where("kept").count() == 0
+    grown = exact_dedup.DigestIndex(spark, fresh_path(spark, "index"))
+    grown.prepare(100 * exact_dedup.BUCKET_DIGESTS)
+    assert grown.buckets == 100 and grown.read().count() == 0
+
+
 def test_dropping_copies_keeps_one_whole_row(spark, docs, doc_rows):
     out = exact_dedup.drop_duplicates(docs, exact_dedup.DigestIndex(spark, fresh_path(spark, "index"), 4))
     assert out.columns == docs.columns
