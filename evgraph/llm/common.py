@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: A key is hot when it holds at least one row in so many; so many keys are hot at most.
 HOT_SHARE = 1000
+#: Bytes of rows that ``deal`` gives to one task at most, on average.
+TASK_BYTES = 256 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +74,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deal(rows: DataFrame, size: int, *key: str) -> DataFrame:
+    """Rows of ``size`` bytes in all, those of a key together, in as many partitions as the session has for shuffles.
+
+    Should these not do for so many bytes, there are more.
+    """
+    n = -(-size // TASK_BYTES)
+    enough = n <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(*key) if enough else rows.repartition(n, *key)
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, counts: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``table`` (one row per key, ``counts`` rows of ``rows`` each).
 

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import read_table, row_hash
+from evgraph.llm.common import deal, read_table, row_hash
 
 SEQUENCE_TOKENS = 1024
 END_ID = 0
@@ -149,7 +149,7 @@ def pack(
     size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1)).first()[0] or 0
     keyed = rows.withColumn("_u", row_hash("doc_id", "text", seed=seed))
     keyed = keyed.withColumn("_group", F.pmod("_u", F.lit(size // group_bytes + 1)))
-    dealt = keyed.repartition("_group").sortWithinPartitions("_group", "_u", "doc_id").select("_group", "doc_id", "text")
+    dealt = deal(keyed, size, "_group").sortWithinPartitions("_group", "_u", "doc_id").select("_group", "doc_id", "text")
     return dealt.mapInArrow(_pack_groups(capacity, make_encoder), SCHEMA)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import materialize, read_table, row_hash
+from evgraph.llm.common import deal, materialize, read_table, row_hash
 
 LAW = "key"
 #: Bytes of records that make a bucket.
@@ -51,7 +51,7 @@ def shard(
     counts = materialize(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "buckets")
     earlier = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*key, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    scattered = keyed.repartition(*key).sortWithinPartitions(*key, "_hash", id_col)
+    scattered = deal(keyed, total, *key).sortWithinPartitions(*key, "_hash", id_col)
     loaded = scattered.groupBy(*key).agg(F.collect_list(F.struct(*records.columns)).alias("_bucket_rows"))
     permuted = loaded.withColumn("_bucket_rows", F.shuffle("_bucket_rows", seed)).join(offsets.hint("shuffle_hash"), key)
     return permuted.select("_shard", "_before", F.posexplode("_bucket_rows").alias("_place", "_row")).select(
