@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import HOT_SHARE, lookup, materialize, read_table
+from evgraph.llm.common import HOT_SHARE, deal, lookup, materialize, read_table
 from evgraph.llm.components import components
 
 MIN_COSINE = 0.95
@@ -49,35 +49,53 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x.reshape(rows, width) / math.sqrt(width)
 
 
-def buckets_of(vectors: np.ndarray, hashing: Hashing) -> np.ndarray:
-    """Buckets of unit vectors: (row, table, probe); probe 0 is the home."""
+def _axis_type(dims: int) -> np.dtype:
+    return np.dtype("<u2") if dims <= 1 << 15 else np.dtype("<u4")
+
+
+def axes_of(vectors: np.ndarray, hashing: Hashing) -> np.ndarray:
+    """Nearest and second nearest axes of unit vectors, 2 * axis + sign: (row, table, rank, hash)."""
     rows, dims = vectors.shape
     width = 1 << max(1, (dims - 1).bit_length())
     padded = np.zeros((rows, width))
     padded[:, :dims] = vectors
     rng = np.random.default_rng([hashing.seed, dims])
-    out = np.empty((rows, hashing.tables, hashing.hashes + 1), np.int64)
+    out = np.empty((rows, hashing.tables, 2, hashing.hashes), _axis_type(dims))
     at = np.arange(rows)
     for t in range(hashing.tables):
-        nearest, second = [], []
-        for _ in range(hashing.hashes):
+        for i in range(hashing.hashes):
             x = padded
             for _ in range(3):
                 x = _hadamard(x * rng.choice([-1.0, 1.0], width))
             size = np.abs(x)
-            best = size.argmax(axis=1)
-            nearest.append(2 * best + (x[at, best] < 0))
-            size[at, best] = -1
-            best = size.argmax(axis=1)
-            second.append(2 * best + (x[at, best] < 0))
-        for probe in range(hashing.hashes + 1):
-            bucket = np.full(rows, dims, np.int64)
-            for i in range(hashing.hashes):
-                bucket = bucket * (2 * width) + (second[i] if i == probe - 1 else nearest[i])
-            out[:, t, probe] = bucket
+            for rank in (0, 1):
+                best = size.argmax(axis=1)
+                out[:, t, rank, i] = 2 * best + (x[at, best] < 0)
+                size[at, best] = -1
     return out
 
 
+def bucket_of(axes: np.ndarray, dims: int, probe: int) -> np.ndarray:
+    """Buckets (row, table) from axes; probe 0 is the home, probe i the visit by the second axis of hash i."""
+    width = 1 << max(1, (dims - 1).bit_length())
+    bucket = np.full(axes.shape[:2], dims, np.int64)
+    for i in range(axes.shape[3]):
+        bucket = bucket * (2 * width) + axes[:, :, int(i == probe - 1), i]
+    return bucket
+
+
+def visits_home(visitor: np.ndarray, host: np.ndarray) -> np.ndarray:
+    """For pairs of axes: (pair, table), whether the host's home is among the buckets of the visitor."""
+    differ = host[:, :, 0] != visitor[:, :, 0]
+    return (differ.sum(axis=2) <= 1) & (~differ | (host[:, :, 0] == visitor[:, :, 1])).all(axis=2)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def _unit_rows(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers and unit vectors in double precision, for each width among the rows."""
     vectors = batch.column(column)
@@ -85,16 +103,14 @@ def _unit_rows(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray,
     values, starts = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64), vectors.offsets.to_numpy()[:-1]
     for dims in np.unique(offsets):
         at = np.flatnonzero(offsets == dims)
-        x = values[starts[at][:, None] + np.arange(dims)]
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        yield at, x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        yield at, _unit(values[starts[at][:, None] + np.arange(dims)])
 
 
 def _homes(hashing: Hashing) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, x in _unit_rows(batch, 0):
-                found = buckets_of(x, hashing)[:, :, 0]
+                found = bucket_of(axes_of(x, hashing), x.shape[1], 0)
                 tables = np.broadcast_to(np.arange(hashing.tables, dtype=np.int32), found.shape)
                 yield pa.RecordBatch.from_arrays([pa.array(tables.ravel()), pa.array(found.ravel())], ["table", "bucket"])
 
@@ -105,18 +121,16 @@ def _send(hashing: Hashing, blocks: dict[tuple[int, int], int]) -> Callable:
     """Each vector to its buckets; homes of a divided bucket to one block of it, visits to all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["table", "bucket", "block", "home", "node", "copies", "probes", "vector"]
+        names = ["table", "bucket", "block", "home", "node", "copies", "axes", "vector"]
         for batch in batches:
             nodes, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, x in _unit_rows(batch, 2):
-                probes = buckets_of(x, hashing)
-                flat, rows = probes.reshape(len(at), -1), np.arange(len(at))
-                lists = lambda values, take: pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(take) + 1, dtype=np.int32) * values.shape[1]), pa.array(values[take].ravel())
-                )
-                for t in range(hashing.tables):
-                    for probe in range(hashing.hashes + 1):
-                        buckets = probes[:, t, probe]
+                axes, rows = axes_of(x, hashing), np.arange(len(at))
+                packed = pa.array([a.tobytes() for a in axes], pa.binary())
+                for probe in range(hashing.hashes + 1):
+                    buckets_by_table = bucket_of(axes, x.shape[1], probe)
+                    for t in range(hashing.tables):
+                        buckets = buckets_by_table[:, t]
                         divided = np.array([blocks.get((t, b), 1) for b in buckets.tolist()], np.int64)
                         own = nodes[at] % divided
                         take = np.repeat(rows, divided)
@@ -126,7 +140,8 @@ def _send(hashing: Hashing, blocks: dict[tuple[int, int], int]) -> Callable:
                             [
                                 pa.array(np.full(len(take), t, np.int32)), pa.array(buckets[take]),
                                 pa.array(block.astype(np.int32)), pa.array(home), pa.array(nodes[at][take]),
-                                pa.array(copies[at][take]), lists(flat, take), lists(x, take),
+                                pa.array(copies[at][take]), packed.take(pa.array(take)),
+                                batch.column(2).take(pa.array(at[take])),
                             ],
                             names,
                         )
@@ -136,14 +151,8 @@ def _send(hashing: Hashing, blocks: dict[tuple[int, int], int]) -> Callable:
 
 def _compare(hashing: Hashing, min_cosine: float, block_rows: int = 2048) -> Callable:
     """Rows sorted by bucket => for each node of a bucket its new links, and one node of its linked set."""
-    probes_each = hashing.hashes + 1
-
-    def meets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """For pairs of probe lists: (pair, table), whether the home of ``a`` is among the visits of ``b``."""
-        a, b = (p.reshape(len(p), hashing.tables, probes_each) for p in (a, b))
-        return (a[:, :, :1] == b).any(axis=2)
 
-    def group(table: int, home: np.ndarray, node: np.ndarray, copies: np.ndarray, probes: np.ndarray, x: np.ndarray):
+    def group(table: int, home: np.ndarray, node: np.ndarray, copies: np.ndarray, axes: np.ndarray, x: np.ndarray):
         hosts = np.flatnonzero(home)
         if not len(hosts) or len(node) < 2:
             return None
@@ -156,7 +165,7 @@ def _compare(hashing: Hashing, min_cosine: float, block_rows: int = 2048) -> Cal
                 a, b = a[node[a] != node[b]], b[node[a] != node[b]]
                 for at in range(0, len(a), 1 << 16):
                     p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-                    there, back = meets(probes[p], probes[q]), meets(probes[q], probes[p])
+                    there, back = visits_home(axes[q], axes[p]), visits_home(axes[p], axes[q])
                     new = ~(there | back)[:, :table].any(axis=1) & (~back[:, table] | (node[p] < node[q]))
                     np.add.at(links, p[new], copies[q[new]])
                     np.add.at(links, q[new], copies[p[new]])
@@ -192,15 +201,16 @@ def _compare(hashing: Hashing, min_cosine: float, block_rows: int = 2048) -> Cal
             """All groups of ``batch``, which are whole."""
             if not batch.num_rows:
                 return
-            table, bucket, block, home, node, copies, probes, vectors = columns(batch)
+            table, bucket, block, home, node, copies, axes, vectors = columns(batch)
             change = (np.diff(table) != 0) | (np.diff(bucket) != 0) | (np.diff(block) != 0)
             bounds = np.concatenate([[0], np.flatnonzero(change) + 1, [len(table)]])
             for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if end - start > 1 and home[start:end].any():
-                    p, v = probes.slice(start, end - start), vectors.slice(start, end - start)
+                    x = _unit(vectors.slice(start, end - start).flatten().to_numpy().reshape(end - start, -1))
+                    packed = b"".join(axes.slice(start, end - start).to_pylist())
                     found = group(
                         int(table[start]), home[start:end], node[start:end], copies[start:end],
-                        p.flatten().to_numpy().reshape(end - start, -1), v.flatten().to_numpy().reshape(end - start, -1),
+                        np.frombuffer(packed, _axis_type(x.shape[1])).reshape(-1, hashing.tables, 2, hashing.hashes), x,
                     )
                     if found:
                         out.append(found)
@@ -250,8 +260,8 @@ def group_vectors(
     some table with a probability that the tests measure; all pairs that meet are verified. Buckets
     with more than ``bucket_rows`` homes, and a share of at least 1 in HOT_SHARE, are divided in blocks.
     """
-    vector = F.col(vector_col)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.cast("array<double>").alias("vector"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"))
     usable = rows.where(is_usable(F.col("vector")))
     sizes = F.count(F.lit(1)).alias("copies")
     nodes = materialize(usable.groupBy("vector").agg(F.min("vec_id").alias("node"), sizes), "vectors")
@@ -264,10 +274,11 @@ def group_vectors(
     blocks = {(r["table"], r["bucket"]): -(-r["n"] // bucket_rows) for r in crowded}
     sent = nodes.select("node", "copies", "vector").mapInArrow(
         _send(hashing, blocks),
-        "table int, bucket long, block int, home boolean, node long, copies long, probes array<long>, vector array<double>",
+        f"table int, bucket long, block int, home boolean, node long, copies long, axes binary, vector {kind}",
     )
     key = ["table", "bucket", "block"]
-    dealt = sent.repartition(*key).sortWithinPartitions(*key)
+    row_bytes = 64 + 8 * (width or 1) + 4 * hashing.tables * hashing.hashes
+    dealt = deal(sent, total * hashing.tables * (hashing.hashes + 1) * row_bytes, *key).sortWithinPartitions(*key)
     found = dealt.mapInArrow(_compare(hashing, min_cosine), "node long, links long, near long")
     found = materialize(found, "vector-links")
     roots = components(found.select(F.col("node").alias("u"), F.col("near").alias("v")))
