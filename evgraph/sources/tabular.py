@@ -130,28 +130,26 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier_id = F.concat(F.lit("class:"), F.concat_ws(".", "nation_qn", "s_name"))
     rev = year_rev(col("o_orderdate"))
     calls = t("orders").join(customer, col("o_custkey") == col("c_custkey"))
+    shipped = [year_rev(f("l_shipdate")).alias(name) for f, name in ((F.min, "first"), (F.max, "last"))]
     supplied = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(
-        (F.min(col("l_orderkey") * 8 + col("l_linenumber")) + 1).alias("line"),
-        F.min(year_rev(col("l_shipdate"))).alias("first"), F.max(year_rev(col("l_shipdate"))).alias("last"),
-    )
+        (F.min(col("l_orderkey") * 8 + col("l_linenumber")) + 1).alias("line"), *shipped
+    )
     supplied = supplied.join(supplier, col("l_suppkey") == col("s_suppkey")).join(
         t("part").select("p_partkey", "p_brand", "p_name"), col("l_partkey") == col("p_partkey")
     )
-    references = reference_rows(spark, sf_dir)
-    once = references.groupBy("id").agg(
-        F.max_by(F.struct(*[c for c in references.columns if c not in ("id", "ordinal")]), "ordinal").alias("row"),
-        F.min("first_seen_rev").alias("first"), F.max("last_seen_rev").alias("last"),
-    )
-    once = once.select("id", "row.*", "first", "last").withColumn("first_seen_rev", col("first")).withColumn("last_seen_rev", col("last"))
-    once = once.withColumn("observed_in_rev", col("last")).drop("first", "last").withColumn("metadata", F.lit(None).cast("map<string,string>"))
-    once = once.withColumn("evidence", F.col("evidence").withField("rev", col("observed_in_rev")))
+    # line items of the same order, part and line are one edge; numbers make the key, so that this is a hash aggregation
+    referred = t("lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(*shipped)
+    referred = referred.join(t("orders").select("o_orderkey", "o_orderstatus"), col("l_orderkey") == col("o_orderkey")).join(
+        t("part").select("p_partkey", "p_brand", "p_name"), col("l_partkey") == col("p_partkey")
+    )
+    line = col("l_orderkey") * 8 + col("l_linenumber") + 1
     parts = [
         edge(place, F.concat(F.lit("project:"), col("r_name")), module, "contains", "nation", col("n_nationkey").cast("long") + 1, first, last),
         edge(customer, module, client_id(), "contains", "customer", col("c_custkey") + 1, first, last),
         edge(supplier, module, supplier_id, "contains", "supplier", col("s_suppkey") + 1, first, last),
         edge(calls, client_id(), endpoint_id(), "calls_endpoint", "orders", col("o_orderkey") + 1, rev, rev),
         edge(supplied, supplier_id, part_id(), "implements", "lineitem", col("line"), col("first"), col("last")),
-        once,
+        edge(referred, endpoint_id(), part_id(), "references", "lineitem", line, col("first"), col("last")),
     ]
     out = parts[0]
     for part in parts[1:]:
