@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evgraph.plans.shared import fresh_path, hadoop_path, materialize
+
+__all__ = ["HOT_SHARE", "WORD", "WS", "deal", "fresh_path", "lookup", "materialize", "note", "read_table", "row_hash"]
+
 #: One or more ASCII white-space characters; what lies between them is a word.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,58 +23,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only a session in local mode may lack the setting; it then gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='evgraph-')}")
-        path = sc.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    p, fs = _hadoop_path(spark, path)
-    fs.delete(p, True)
-
-
 def note(spark: SparkSession, path: str, name: str, value: int | None = None) -> int | None:
     """A number kept with the table at ``path``, as the name of a folder that readers of the table pass over; sets or finds it."""
-    p, fs = _hadoop_path(spark, path)
+    p, fs = hadoop_path(spark, path)
     if value is not None:
-        fs.mkdirs(_hadoop_path(spark, f"{path}/_{name}_{value}")[0])
+        fs.mkdirs(hadoop_path(spark, f"{path}/_{name}_{value}")[0])
         return value
     names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
     return next((int(x.rpartition("_")[2]) for x in names if x.startswith(f"_{name}_")), None)
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/evgraph-{name}-{uuid.uuid4().hex}"
-    p, fs = _hadoop_path(spark, path)
-    fs.deleteOnExit(p)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there,
-    so a lost executor costs a reread and not a recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def deal(rows: DataFrame, size: int, *key: str) -> DataFrame:
     """Rows of ``size`` bytes in all, those of a key together, in as many partitions as the session has for shuffles.
 

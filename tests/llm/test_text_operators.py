@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from evgraph.llm import components, exact_dedup, line_dedup, mixing, packing, sharding, simhash
-from evgraph.llm.common import fresh_path
+from evgraph.llm.common import TASK_BYTES, deal, fresh_path
 
 BIG = 1 << 62
 
@@ -44,6 +44,14 @@ def test_one_more_shard_takes_rows_only_into_itself(spark):
     assert min(Counter(r["a"] for r in rows).values()) > 500 and 400 < sum(r["b"] == 8 for r in rows) < 720
 
 
+def test_large_inputs_are_dealt_to_more_tasks(spark):
+    rows = spark.range(100).withColumn("k", F.col("id") % 7)
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert deal(rows, 40 * TASK_BYTES, "k").rdd.getNumPartitions() == 40 > few
+    dealt = deal(rows, 10, "k").withColumn("part", F.spark_partition_id())
+    assert dealt.rdd.getNumPartitions() <= few and dealt.select("k", "part").distinct().count() == 7
+
+
 def test_shards_are_permuted_and_empty_tables_stay_empty(spark, no_docs, tmp_path):
     big = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     out = sharding.shard(big, 1).orderBy("_slot").collect()
