@@ -104,9 +104,10 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
 
 
 def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id, ``text_hash``, ``fp`` (signed long) and ``component_id``.
+    """One row per input row: the id, ``text_hash``, ``fp`` (signed long), ``component_id`` and ``root``.
 
-    ``component_id`` is the smallest id whose fingerprint can be reached by links. Rows of
+    ``component_id`` is the smallest id whose fingerprint can be reached by links; ``root`` is the smallest such
+    fingerprint, which tells components apart that share an id as name or have none. Rows of
     equal fingerprint are one node with a count, so groups of copies never pair up. Null,
     empty and wordless texts share fingerprint 0. Null ids get a component like any
     other row but never name one, unless all ids of it are null. Extra columns are ignored.
@@ -125,26 +126,31 @@ def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = members.groupBy("root").agg(F.min("first_id").alias("component_id"), count.alias("n"))
     linked = lookup(members.select("fp", "root"), named, "root", "n", members.count())
     table = materialize(
-        nodes.join(linked.select("fp", "component_id"), "fp", "left").select(
-            "fp", "copies", F.coalesce("component_id", "first_id").alias("component_id")
+        nodes.join(linked.select("fp", "component_id", "root"), "fp", "left").select(
+            "fp", "copies", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root")
         ),
         "node-components",
     )
     found = lookup(rows, table, "fp", "copies", rows.count())
-    return found.select(F.col("doc_id").alias(id_col), "text_hash", "fp", "component_id")
+    return found.select(F.col("doc_id").alias(id_col), "text_hash", "fp", "component_id", "root")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of near-duplicates the one with its component's id.
+    """The rows of ``docs`` that stay: of each group of near-duplicates the one with its smallest id.
 
-    Should rows repeat an id, the text with the smallest hash stays, once.
+    Null ids come last. Should rows of a group repeat that id, the text with the smallest hash stays, once. Groups
+    count by their fingerprints, so those that share an id, or have none, each keep a row.
     """
-    none = F.lit(-(2**63))
-    kept = group_near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy(F.coalesce("component_id", none).alias("_key")).agg(F.min("text_hash").alias("_hash"))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("_hash", row_hash("text"))
-    one = Window.partitionBy("_key", "_hash").orderBy("_key")
-    found = keyed.join(kept, ["_key", "_hash"], "left_semi").withColumn("_n", F.row_number().over(one))
+    key = ["_none", "_key", "_hash"]
+    no_id, id_or_zero = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id"), F.lit(0).cast("long"))
+    first = F.min(F.struct(no_id.alias("_none"), id_or_zero.alias("_key"), F.col("text_hash").alias("_hash")))
+    kept = group_near_duplicates(docs).groupBy("root").agg(first.alias("first")).select("first.*")
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.withColumns(
+        {"_none": doc_id.isNull(), "_key": F.coalesce(doc_id, F.lit(0).cast("long")), "_hash": row_hash("text")}
+    )
+    one = Window.partitionBy(*key).orderBy("_key")
+    found = keyed.join(kept, key, "left_semi").withColumn("_n", F.row_number().over(one))
     return found.where("_n = 1").select(*docs.columns)
 
 

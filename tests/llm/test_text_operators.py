@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evgraph.llm import components, exact_dedup, line_dedup, mixing, packing, sharding, simhash
 from evgraph.llm.common import TASK_BYTES, deal, fresh_path
+from tests.llm.conftest import sentence
 
 BIG = 1 << 62
 
@@ -185,6 +186,14 @@ def test_one_of_each_near_group_stays(docs, no_docs, doc_rows):
     assert simhash.group_near_duplicates(no_docs).count() == 0 and simhash.keep_one_of_each(no_docs).count() == 0
 
 
+def test_groups_without_an_id_or_of_one_id_each_keep_a_row(spark):
+    texts = [sentence(1000 + i, 40) for i in range(12)]
+    rows = [(None, t) for t in texts[:8]] + [(5, t) for t in texts[8:]] + [(None, texts[0]), (5, texts[8]), (-(2**63), texts[1])]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(-(2**63), texts[1])] + [(None, t) for t in texts[:8] if t != texts[1]] + [(5, t) for t in texts[8:]]
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(want)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(400)] + [(5000, 5000)]
