@@ -81,6 +81,22 @@ def test_pages_table(spark, write_tables):
     assert QUERIES["op3_html_extraction"](spark, write_tables(pages=spark.createDataFrame([], schema))).count() == 0
 
 
+@pytest.mark.parametrize("partitions", ["1", "4", "200"])
+def test_no_page_of_a_large_host_misses_its_template(spark, partitions):
+    page = "<body><div><p>Welcome to the site</p></div><div><h2>w{0} title</h2><p>{1}</p></div><div>All rights</div></body>"
+    text = lambda i: " ".join(f"w{i * 31 + k * k}" for k in range(20))
+    rows = [(i, f"http://h{n}.example/{i}", page.format(i, text(i))) for n in (65, 66, 130, 200) for i in range(n)]
+    rows += [(None, "http://h65.example/copy", page.format(1, text(1)))] * 2 + [(i, "http://h66.example/c", page.format(2, text(2))) for i in range(1000, 1100)]
+    want = Counter((i, url, "w{0} title {1}".format(j, text(j))) for i, url, html in rows for j in [int(html.split("<h2>w")[1].split()[0])])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        out = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert Counter((r["page_id"], r["url"], r["text"]) for r in out) == want
+
+
 # Chats
 
 
