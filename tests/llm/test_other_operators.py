@@ -43,6 +43,31 @@ def test_what_pages_of_a_host_share_is_template():
     assert copies == ["Welcome to the site ant title ant is a long text about ant and ant again. All rights"] * 9
 
 
+def prose(i, n):
+    return " ".join(f"w{i}x{k * k % 97}" for k in range(n))
+
+
+def test_nothing_of_a_marked_article_is_template():
+    page = "<body><p>menu</p><article><h1>Daily report</h1><p>{}</p><p>This passage stands in each article.</p></article></body>"
+    texts = [f"Daily report {prose(i, 9)} This passage stands in each article." for i in range(6)]
+    assert html_extract.main_texts([page.format(prose(i, 9)) for i in range(6)]) == texts
+
+
+def test_long_template_goes_and_near_copies_stay():
+    menu = prose(99, 80)
+    page = "<body><div>{}</div><div><p>{}</p></div></body>"
+    assert html_extract.main_texts([page.format(menu, prose(i, 12)) for i in range(8)]) == [prose(i, 12) for i in range(8)]
+    copies = [page.format(menu, f"{prose(1, 30)} edit{i}") for i in range(8)]
+    assert html_extract.main_texts(copies) == [f"{menu} {prose(1, 30)} edit{i}" for i in range(8)]
+
+
+def test_each_layout_of_a_host_has_its_template():
+    one = "<body><div><p>Welcome to the shop</p></div><div><p>{}</p></div></body>"
+    two = "<body><table><tr><td>Notes of the week</td><td><ul><li>{}</li></ul></td></tr></table></body>"
+    pages = [(one if i % 2 else two).format(prose(i, 20)) for i in range(12)]
+    assert html_extract.main_texts(pages) == [prose(i, 20) for i in range(12)]
+
+
 def brute_matching(a, b):
     if a.tag != b.tag:
         return 0
