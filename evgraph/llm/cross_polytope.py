@@ -256,7 +256,8 @@ def group_vectors(
 
     Equal vectors are one node with a count. A vector that is null, empty, zero or holds a null or
     non-finite component links with nothing and is its own component; so do vectors
-    of different widths. Ids are distinct. Recall depends on ``hashing``: pairs at the least cosine meet in
+    of different widths. ``component_id`` is the smallest id of the component. Ids may be null or repeated: null ids never
+    name a component unless all of it are null, and different vectors of one id are different nodes. Recall depends on ``hashing``: pairs at the least cosine meet in
     some table with a probability that the tests measure; all pairs that meet are verified. Buckets
     with more than ``bucket_rows`` homes, and a share of at least 1 in HOT_SHARE, are divided in blocks.
     """
@@ -264,7 +265,9 @@ def group_vectors(
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"))
     usable = rows.where(is_usable(F.col("vector")))
     sizes = F.count(F.lit(1)).alias("copies")
-    nodes = materialize(usable.groupBy("vector").agg(F.min("vec_id").alias("node"), sizes), "vectors")
+    # a node's number is the place of its vector in the table; ids may be null or shared, and only name
+    nodes = usable.groupBy("vector").agg(F.min("vec_id").alias("first_id"), sizes)
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     total, width = nodes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     hashing = hashing or Hashing.of(total, width or 1)
     homes = nodes.select("vector").mapInArrow(_homes(hashing), "table int, bucket long")
@@ -283,10 +286,15 @@ def group_vectors(
     found = materialize(found, "vector-links")
     roots = components(found.select(F.col("node").alias("u"), F.col("near").alias("v")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    table = nodes.join(counts, "node", "left").join(roots, "node", "left")
+    members = nodes.select("node", "first_id").join(roots, "node")
+    members = materialize(members, "vector-members")
+    named = members.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    linked = lookup(members, named, "root", "n", members.count()).select("node", "component_id")
+    table = nodes.join(counts, "node", "left").join(linked.withColumn("linked", F.lit(True)), "node", "left")
     table = table.select(
-        "vector", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")
-    )
+        "vector", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("root"),
+    )
     linked = lookup(usable, table, "vector", "copies", usable.count()).select("vec_id", "n_links", "root")
     alone = rows.where(~is_usable(F.col("vector"))).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("root")
@@ -296,4 +304,5 @@ def group_vectors(
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = group_vectors(read_table(spark, sf_dir, "embeddings"))
-    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    # null-safe, so that a component without an id keeps its rows
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

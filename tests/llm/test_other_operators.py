@@ -246,6 +246,19 @@ def test_vectors_match_brute_force(spark):
     check_vectors(spark, vectors, hashing=cross_polytope.Hashing(1, 12), bucket_rows=3)
 
 
+def test_vectors_without_an_id_or_of_one_id(spark, write_tables):
+    e = np.eye(16)
+    near = lambda a, b: [float(x) for x in e[a] + 0.1 * e[b]]
+    rows = [(None, near(0, 1)), (None, near(0, 2)), (None, near(4, 5)), (7, near(8, 1)), (7, near(8, 2)), (7, near(10, 1))]
+    rows += [(9, near(8, 2)), (None, near(8, 3)), (None, None), (3, near(12, 1)), (3, near(12, 1)), (5, near(12, 2))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    out = cross_polytope.group_vectors(df, hashing=cross_polytope.Hashing(1, 12)).collect()
+    want = [(None, 1, None)] * 2 + [(None, 0, None)] * 2 + [(7, 3, 7), (7, 3, 7), (7, 0, 7), (9, 3, 7), (None, 3, 7)] + [(3, 2, 3)] * 2 + [(5, 2, 3)]
+    assert Counter(map(tuple, out)) == Counter(want)
+    rows = QUERIES["op9_embedding_near_dedup"](spark, write_tables(embeddings=df)).collect()
+    assert len(rows) == 12 and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows)
+
+
 def test_recall_at_the_least_cosine(spark):
     """Pairs just above the bound are the hardest."""
     rng = np.random.default_rng(6)
