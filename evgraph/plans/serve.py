@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evgraph.plans.render import context_lines
 from evgraph.plans.workspace import Workspace
 
+#: Rows of a page of an answer; ``offset`` asks for the pages after the first.
 MAX_ROWS = 1000
 # The protocol's error numbers and the tools' other names.
 INVALID_REQUEST, NO_METHOD, BAD_PARAMS, INTERNAL = -32600, -32601, -32602, -32603
@@ -28,20 +29,33 @@ class RpcError(Exception):
 
 
 def _rows(df: DataFrame) -> list:
-    """At most MAX_ROWS rows, as JSON would have them; an answer is a page, not a table."""
-    return [json.loads(r[0]) for r in df.limit(MAX_ROWS).select(F.to_json(F.struct(*df.columns))).collect()]
+    """All rows, as JSON would have them."""
+    return [json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns))).toLocalIterator()]
+
+
+def _page(df: DataFrame, offset: int) -> tuple[DataFrame, int, bool]:
+    """MAX_ROWS rows of an ordered table from ``offset`` on, the number of all, and whether there are more after them."""
+    total = df.count()
+    return df.offset(offset).limit(MAX_ROWS), total, offset + MAX_ROWS < total
+
+
+def _offset(a: dict) -> int:
+    offset = int(a.get("offset") or 0)
+    if offset < 0:
+        raise RpcError(BAD_PARAMS, "offset must not be negative")
+    return offset
 
 
 class Server:
     def __init__(self, workspace: Workspace):
         self.workspace, self.closed = workspace, False
-        text, tool = {"type": "string"}, self._tool
+        text, number, tool = {"type": "string"}, {"type": "number"}, self._tool
         self.tools: dict[str, tuple[dict, Callable[[dict], object]]] = dict([
-            tool("search", "Nodes whose name, qualified name, route or file match", {"query": text, "limit": {"type": "number"}, "kind": text}, ["query"], self._search),
-            tool("explain", "A node with its incoming and outgoing edges", {"nodeId": text}, ["nodeId"], self._explain),
+            tool("search", "Nodes whose name, qualified name, route or file match", {"query": text, "limit": number, "kind": text}, ["query"], self._search),
+            tool("explain", "A node with its incoming and outgoing edges, page by page", {"nodeId": text, "offset": number}, ["nodeId"], self._explain),
             tool("path", "The steps of a shortest path between two nodes", {"from": text, "to": text}, ["from", "to"], self._path),
-            tool("impact", "What a file, node, kind or lack of consumers touches", {"target": {}}, ["target"], self._impact),
-            tool("graph_context", "The graph as lines of text", {}, [], self._context),
+            tool("impact", "What a file, node, kind or lack of consumers touches, page by page", {"target": {}, "offset": number}, ["target"], self._impact),
+            tool("graph_context", "The graph as lines of text, page by page", {"offset": number}, [], self._context),
         ])
 
     @staticmethod
@@ -54,7 +68,10 @@ class Server:
 
     def _explain(self, a: dict) -> object:
         found = self.workspace.explain(a.get("nodeId") or a.get("id") or a.get("node") or "")
-        return found and {"node": found["node"].asDict(True), "edges": _rows(found["edges"]), "revision": found["revision"]}
+        if not found:
+            return found
+        edges, total, more = _page(found["edges"], _offset(a))
+        return {"node": found["node"].asDict(True), "edges": _rows(edges), "revision": found["revision"], "total": total, "more": more}
 
     def _path(self, a: dict) -> object:
         start, end = a.get("from") or a.get("fromId"), a.get("to") or a.get("toId")
@@ -64,11 +81,19 @@ class Server:
 
     def _impact(self, a: dict) -> object:
         nodes, edges, reason = self.workspace.impact(a.get("target") or {})
-        return {"nodes": _rows(nodes.orderBy("id")), "edges": _rows(edges.orderBy("id")), "reason": reason}
+        parts = {"nodes": _page(nodes.orderBy("id"), _offset(a)), "edges": _page(edges.orderBy("id"), _offset(a))}
+        out = {name: _rows(page) for name, (page, _, _) in parts.items()}
+        total = {name: n for name, (_, n, _) in parts.items()}
+        return out | {"reason": reason, "total": total, "more": any(more for _, _, more in parts.values())}
 
     def _context(self, a: dict) -> object:
-        lines = context_lines(self.workspace.nodes, self.workspace.edges).orderBy("section", "id")
-        return "\n".join(r["line"] for r in lines.limit(MAX_ROWS).collect())
+        offset = _offset(a)
+        lines = context_lines(self.workspace.nodes, self.workspace.edges).orderBy("section", "id", "line")
+        page, total, more = _page(lines, offset)
+        found = [r["line"] for r in page.collect()]
+        if more:
+            found.append(f"(lines {offset + 1} to {offset + len(found)} of {total}; more with offset {offset + len(found)})")
+        return "\n".join(found)
 
     def call(self, name: str, arguments: dict | None = None) -> object:
         if self.closed:
