@@ -1,11 +1,15 @@
 """HTML extraction, chat formatting, language identification, vectors and the pipeline."""
 
+import html
+import re
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +72,67 @@ def test_each_layout_of_a_host_has_its_template():
     assert html_extract.main_texts(pages) == [prose(i, 20) for i in range(12)]
 
 
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ('<div class="layout has-sidebar"><article>Hello world</article></div>', "Hello world"),
+        ('<div id="page-with-header"><main>Hello there</main><div class="sidebar">no</div></div>', "Hello there"),
+        ('<article><p class="legal-history">kept</p><div class="ad-slot">no</div><div class="entry-header">title</div></article>', "kept title"),
+        ("<form><div class=ad>no</div><article>x</article></form>", "x"), ("<div class=site-footer>no</div><div class=footnotes>yes</div>", "yes"),
+        ("<article>a<aside>no</aside>b</article><section class=comments><article>no</article></section>", "a b"),
+    ],
+)
+def test_words_never_take_the_article_or_a_paragraph(source, text):
+    assert html_extract.main_texts([source]) == [text]
+
+
+def test_deep_and_long_pages_take_seconds():
+    began = time.perf_counter()
+    assert html_extract.main_texts(["<div>" * 5000 + "deep" + "</div>" * 5000]) == ["deep"]
+    parts = [[f"w{i * j + j} <b>{i * j}</b>{f'<i>y{j}</i>' * (i * j % 3)}" for i in range(1, 5000)] for j in range(1, 5)]
+    found = html_extract.main_texts(["".join(f"<p>{x}</p>" for x in page) for page in parts])
+    assert found == [" ".join(re.sub("<[^>]*>", "", x) for x in page) for page in parts]
+    for odd in ('<a "' * 50_000, "<![CDATA[" * 50_000, "<b>" * 20_000 + "<p>" * 20, "< " * 50_000, "</b>" * 50_000):
+        html_extract.main_texts([odd])
+    assert time.perf_counter() - began < 60
+
+
+def plain(source):
+    """The page without what marks its article, menus and adverts; only alignment can tell them apart."""
+    return re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", source).replace(' class="ad"', "")
+
+
+def test_the_wrapper_alone_finds_the_article():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pandas()
+    hosts = pages.groupby(pages.url.str.extract("://([^/]*)")[0])
+    seen = differ = 0
+    for _, host in hosts:
+        if len(host) >= 5:
+            truth = [" ".join(re.sub("<[^>]*>", " ", re.search("<article>(.*)</article>", x, re.S)[1]).split()) for x in host.html]
+            want = [" ".join(html.unescape(t).split()) for t in truth]
+            assert html_extract.main_texts([plain(x) for x in host.html]) == html_extract.main_texts([*host.html]) == want
+            seen += len(host)
+            differ += sum(html_extract.main_texts([plain(x)]) != [t] for x, t in zip(host.html, want))
+    assert seen > 100 and differ == seen
+
+
+def test_an_article_that_each_page_repeats_is_template():
+    page = "<body><article><p>The teaser of this week</p></article><article><p>{}</p></article></body>"
+    assert html_extract.main_texts([page.format(prose(i, 20)) for i in range(5)]) == [prose(i, 20) for i in range(5)]
+
+
+def test_result_does_not_depend_on_partitions_or_groups(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", F.lit("http://one.example/").alias("url"), "html")
+    want = None
+    for partitions, group in ((1, 512), (7, 32), (50, 32)):
+        monkeypatch.setattr(html_extract, "GROUP_PAGES", group)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = sorted(map(tuple, html_extract.extract_main_text(pages.repartition(partitions)).collect()))
+        want = want or got
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 def brute_matching(a, b):
     if a.tag != b.tag:
         return 0
@@ -84,10 +149,10 @@ def test_tree_matching_is_maximal():
 
     def tree(depth):
         kids = [tree(depth - 1) for _ in range(rng.integers(0, 5))] if depth else []
-        return html_extract.Node(str(rng.choice(list("abc"))), parts=kids, size=1 + sum(k.size for k in kids))
+        return html_extract.Node(str(rng.choice(list("abc"))), parts=kids)
 
     for _ in range(200):
-        a, b = tree(3), tree(3)
+        a, b = html_extract.measured(tree(3)), html_extract.measured(tree(3))
         pairs = html_extract.match_trees(a, b)
         assert len(pairs) == brute_matching(a, b) and all(x.tag == y.tag for x, y in pairs)
         assert len({id(x) for x, _ in pairs}) == len(pairs) == len({id(y) for _, y in pairs})
