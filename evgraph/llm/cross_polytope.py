@@ -4,7 +4,8 @@ A vector is turned by random sign flips and fast Hadamard transforms, three time
 nearest to the result, with its sign, is a hash. A table joins several hashes to a bucket.
 Each vector is at home in one bucket of each table and also visits the buckets
 that its second nearest axes give. Within a bucket, homes are compared with visits by their cosine in
-double precision. A pair counts in the first table, and direction, in which it meets.
+double precision; a crowded bucket is divided in blocks of homes, which all its visitors go to. A pair counts in
+the first table, and direction, in which it meets.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import HOT_SHARE, deal, lookup, materialize, read_table
+from evgraph.llm.common import deal, lookup, materialize, read_table
 from evgraph.llm.components import components
 
 MIN_COSINE = 0.95
@@ -117,127 +118,108 @@ def _homes(hashing: Hashing) -> Callable:
     return run
 
 
-def _send(hashing: Hashing, blocks: dict[tuple[int, int], int]) -> Callable:
-    """Each vector to its buckets; homes of a divided bucket to one block of it, visits to all."""
+def _send(hashing: Hashing) -> Callable:
+    """Each vector to its buckets: at home in one of each table, a visitor in the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["table", "bucket", "block", "home", "node", "copies", "axes", "vector"]
+        names = ["table", "bucket", "home", "node", "copies", "axes", "vector"]
         for batch in batches:
-            nodes, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            nodes, copies = batch.column(0), batch.column(1)
             for at, x in _unit_rows(batch, 2):
-                axes, rows = axes_of(x, hashing), np.arange(len(at))
+                axes, rows = axes_of(x, hashing), pa.array(at)
                 packed = pa.array([a.tobytes() for a in axes], pa.binary())
+                same = [nodes.take(rows), copies.take(rows), packed, batch.column(2).take(rows)]
                 for probe in range(hashing.hashes + 1):
-                    buckets_by_table = bucket_of(axes, x.shape[1], probe)
+                    buckets = bucket_of(axes, x.shape[1], probe)
                     for t in range(hashing.tables):
-                        buckets = buckets_by_table[:, t]
-                        divided = np.array([blocks.get((t, b), 1) for b in buckets.tolist()], np.int64)
-                        own = nodes[at] % divided
-                        take = np.repeat(rows, divided)
-                        block = np.arange(len(take)) - np.repeat(np.cumsum(divided) - divided, divided)
-                        home = (block == own[take]) & (probe == 0)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(len(take), t, np.int32)), pa.array(buckets[take]),
-                                pa.array(block.astype(np.int32)), pa.array(home), pa.array(nodes[at][take]),
-                                pa.array(copies[at][take]), packed.take(pa.array(take)),
-                                batch.column(2).take(pa.array(at[take])),
-                            ],
-                            names,
-                        )
+                        own = [np.full(len(at), t, np.int32), buckets[:, t], np.full(len(at), probe == 0)]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, own), *same], names)
 
     return run
 
 
 def _compare(hashing: Hashing, min_cosine: float, block_rows: int = 2048) -> Callable:
-    """Rows sorted by bucket => for each node of a bucket its new links, and one node of its linked set."""
-
-    def group(table: int, home: np.ndarray, node: np.ndarray, copies: np.ndarray, axes: np.ndarray, x: np.ndarray):
-        hosts = np.flatnonzero(home)
-        if not len(hosts) or len(node) < 2:
-            return None
-        links, root, pairs = np.zeros(len(node), np.int64), np.arange(len(node)), []
-        for i in range(0, len(hosts), block_rows):
-            for j in range(0, len(node), block_rows):
-                h = hosts[i : i + block_rows]
-                a, b = np.nonzero(x[h] @ x[j : j + block_rows].T >= min_cosine)
-                a, b = h[a], b + j
-                a, b = a[node[a] != node[b]], b[node[a] != node[b]]
-                for at in range(0, len(a), 1 << 16):
-                    p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-                    there, back = visits_home(axes[q], axes[p]), visits_home(axes[p], axes[q])
-                    new = ~(there | back)[:, :table].any(axis=1) & (~back[:, table] | (node[p] < node[q]))
-                    np.add.at(links, p[new], copies[q[new]])
-                    np.add.at(links, q[new], copies[p[new]])
-                pairs.append((a, b))
-        a, b = (np.concatenate(side) for side in zip(*pairs))
-        if not len(a):
-            return None
-        while True:  # the smallest index of each linked set
-            before = root.copy()
-            low = np.minimum(root[a], root[b])
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
-            root = root[root]
-            if (root == before).all():
-                break
-        linked = np.unique(np.concatenate([a, b]))
-        return node[linked], links[linked], node[root[linked]]
+    """Rows sorted by block, homes first => for each node of a block new links, and one node of its linked set.
+
+    A block's homes are held; its rows, the homes among them, stream past these ``block_rows`` at once. Links are
+    given out as they are found, so a node of a block can come several times.
+    """
+
+    def compared(table: int, hosts: tuple, rows: tuple):
+        """New links between the homes and other rows, of which each is (node, copies, axes, unit vectors)."""
+        (h_node, h_copies, h_axes, h_x), (node, copies, axes, x) = hosts, rows
+        ids, at = np.unique(np.concatenate([h_node, node]), return_inverse=True)
+        of_host, of_row = at[: len(h_node)], at[len(h_node) :]
+        links, root, any_pair = np.zeros(len(ids), np.int64), np.arange(len(ids)), np.zeros(len(ids), bool)
+        for i in range(0, len(h_node), block_rows):
+            a, b = np.nonzero(h_x[i : i + block_rows] @ x.T >= min_cosine)
+            a += i
+            other = h_node[a] != node[b]
+            a, b = a[other], b[other]
+            for j in range(0, len(a), 1 << 16):
+                p, q = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
+                there, back = visits_home(axes[q], h_axes[p]), visits_home(h_axes[p], axes[q])
+                new = ~(there | back)[:, :table].any(axis=1) & (~back[:, table] | (h_node[p] < node[q]))
+                np.add.at(links, of_host[p[new]], copies[q[new]])
+                np.add.at(links, of_row[q[new]], h_copies[p[new]])
+                u, v = of_host[p], of_row[q]
+                any_pair[u] = any_pair[v] = True
+                while True:  # the smallest index of each linked set
+                    low = np.minimum(root[u], root[v])
+                    before = root.copy()
+                    np.minimum.at(root, u, low)
+                    np.minimum.at(root, v, low)
+                    root = root[root]
+                    if (root == before).all():
+                        break
+        linked = np.flatnonzero(any_pair)
+        return (ids[linked], links[linked], ids[root[linked]]) if len(linked) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        out: list[tuple] = []
-
-        def columns(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            lists = []
-            for i in (6, 7):
-                array = batch.column(i)
-                array = array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
-                lists.append(array)
-            return [*cols, *lists]
-
-        def finish(batch: pa.Table) -> None:
-            """All groups of ``batch``, which are whole."""
-            if not batch.num_rows:
-                return
-            table, bucket, block, home, node, copies, axes, vectors = columns(batch)
-            change = (np.diff(table) != 0) | (np.diff(bucket) != 0) | (np.diff(block) != 0)
-            bounds = np.concatenate([[0], np.flatnonzero(change) + 1, [len(table)]])
-            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if end - start > 1 and home[start:end].any():
-                    x = _unit(vectors.slice(start, end - start).flatten().to_numpy().reshape(end - start, -1))
-                    packed = b"".join(axes.slice(start, end - start).to_pylist())
-                    found = group(
-                        int(table[start]), home[start:end], node[start:end], copies[start:end],
-                        np.frombuffer(packed, _axis_type(x.shape[1])).reshape(-1, hashing.tables, 2, hashing.hashes), x,
-                    )
-                    if found:
-                        out.append(found)
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            nonlocal out
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(side)) for side in zip(*out)], ["node", "links", "near"]
-                )
-                out = []
+        key, homes, hosts = None, [], None
+
+        def ready(parts: list[tuple]) -> tuple:
+            return tuple(np.concatenate(side) for side in zip(*parts))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            key = [batch.column(i).to_numpy() for i in range(3)]
-            same = np.logical_and.reduce([k == k[-1] for k in key])
-            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if last:  # the last group may go on in the next batch
-                whole = pa.Table.from_batches([*held[:-1], batch.slice(0, last)])
-                held = [batch.slice(last)]
-                finish(whole)
-                yield from emit()
-        if held:
-            finish(pa.Table.from_batches(held))
-            yield from emit()
+            keys = [batch.column(i).to_numpy() for i in range(3)]
+            home, node, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 6))
+            change = np.logical_or.reduce([np.diff(k) != 0 for k in keys]) | (np.diff(home.astype(np.int8)) != 0)
+            bounds = np.concatenate([[0], np.flatnonzero(change) + 1, [batch.num_rows]])
+            out = []
+            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                here = tuple(int(k[start]) for k in keys)
+                if here != key:
+                    if homes and hosts is None:  # the last block had homes only
+                        out += _with_homes(key[0], ready(homes))
+                    key, homes, hosts = here, [], None
+                if not home[start] and not homes:
+                    continue
+                vectors = batch.column(7).slice(start, end - start)
+                x = _unit(vectors.flatten().to_numpy().reshape(end - start, -1))
+                packed = b"".join(batch.column(6).slice(start, end - start).to_pylist())
+                axes = np.frombuffer(packed, _axis_type(x.shape[1])).reshape(-1, hashing.tables, 2, hashing.hashes)
+                rows = (node[start:end], copies[start:end], axes, x)
+                if home[start]:
+                    homes.append(rows)
+                    continue
+                if hosts is None:
+                    hosts = ready(homes)
+                    out += _with_homes(key[0], hosts)
+                for at in range(0, end - start, block_rows):
+                    out.append(compared(key[0], hosts, tuple(c[at : at + block_rows] for c in rows)))
+            out = [x for x in out if x]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*out)], ["node", "links", "near"])
+        if homes and hosts is None and (out := [x for x in _with_homes(key[0], ready(homes)) if x]):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*out)], ["node", "links", "near"])
+
+    def _with_homes(table: int, hosts: tuple) -> list:
+        """The homes of a block among themselves."""
+        n = len(hosts[0])
+        return [compared(table, hosts, tuple(c[at : at + block_rows] for c in hosts)) for at in range(0, n, block_rows)] if n > 1 else []
 
     return run
 
@@ -259,7 +241,7 @@ def group_vectors(
     of different widths. ``component_id`` is the smallest id of the component. Ids may be null or repeated: null ids never
     name a component unless all of it are null, and different vectors of one id are different nodes. Recall depends on ``hashing``: pairs at the least cosine meet in
     some table with a probability that the tests measure; all pairs that meet are verified. Buckets
-    with more than ``bucket_rows`` homes, and a share of at least 1 in HOT_SHARE, are divided in blocks.
+    with more than ``bucket_rows`` homes are divided in blocks of about so many, whatever the table's size.
     """
     kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"))
@@ -271,17 +253,25 @@ def group_vectors(
     total, width = nodes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     hashing = hashing or Hashing.of(total, width or 1)
     homes = nodes.select("vector").mapInArrow(_homes(hashing), "table int, bucket long")
-    homes = homes.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    # at most HOT_SHARE buckets of each table, whatever the input
-    crowded = homes.where((F.col("n") > bucket_rows) & (F.col("n") * HOT_SHARE >= total)).collect()
-    blocks = {(r["table"], r["bucket"]): -(-r["n"] // bucket_rows) for r in crowded}
+    homes = homes.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
+    # Spark broadcasts this table if it is small, and joins by shuffle if not
+    crowded = materialize(homes.select("table", "bucket", F.ceil(F.col("n") / bucket_rows).alias("blocks")), "crowded-buckets")
     sent = nodes.select("node", "copies", "vector").mapInArrow(
-        _send(hashing, blocks),
-        f"table int, bucket long, block int, home boolean, node long, copies long, axes binary, vector {kind}",
+        _send(hashing), f"table int, bucket long, home boolean, node long, copies long, axes binary, vector {kind}"
     )
+    if crowded.isEmpty():
+        sent = sent.withColumn("block", F.lit(0))
+    else:
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        every = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
+        sent = sent.join(crowded, ["table", "bucket"], "left").withColumn("own", F.coalesce(own, F.lit(0)))
+        block = F.explode(F.when(F.col("blocks") > 1, every).otherwise(F.array(F.lit(0))))
+        sent = sent.withColumn("block", block).withColumn("home", F.col("home") & (F.col("own") == F.col("block")))
     key = ["table", "bucket", "block"]
+    sent = sent.select(*key, "home", "node", "copies", "axes", "vector")
     row_bytes = 64 + 8 * (width or 1) + 4 * hashing.tables * hashing.hashes
-    dealt = deal(sent, total * hashing.tables * (hashing.hashes + 1) * row_bytes, *key).sortWithinPartitions(*key)
+    dealt = deal(sent, total * hashing.tables * (hashing.hashes + 1) * row_bytes, *key)
+    dealt = dealt.sortWithinPartitions(*key, F.desc("home"))
     found = dealt.mapInArrow(_compare(hashing, min_cosine), "node long, links long, near long")
     found = materialize(found, "vector-links")
     roots = components(found.select(F.col("node").alias("u"), F.col("near").alias("v")))
