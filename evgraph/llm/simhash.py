@@ -4,13 +4,15 @@ Anchors are the words of the perfect Hamming code [31, 26] (covering radius 1),
 the low 31 bits of each half of a 64-bit fingerprint. Two fingerprints that differ in 3
 bits or fewer differ in 1 bit or none in some half. There, each is sent to every anchor
 within covering radius plus 1 = 2 (at most 16), and to its nearest anchor as its home;
-the home of one is always among the anchors of the other. So no link is lost, and each
-anchor's comparison is an equi-join on the anchor, verified on all 64 bits.
+the home of one is always among the anchors of the other. The other half, cut into one part more
+than bits may differ, agrees in some part; so each anchor is divided by the bits of the parts, and fingerprints
+alike in one half do not all meet. No link is lost, and each anchor's comparison is an
+equi-join on anchor and part, verified on all 64 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evgraph.llm.common import lookup, materialize, read_table, row_hash
+from evgraph.llm.common import boxed, lookup, materialize, read_table, row_hash
 from evgraph.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -79,28 +81,40 @@ def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(near)
 
 
-def _to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = batch.column(0).to_numpy()
-        for half in (0, 1):
-            words = (fps >> (32 * half)) & 0x7FFFFFFF
-            index, near = _anchors(words)
-            home = np.zeros(len(index), bool)
-            home[: len(fps)] = True
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(near | (half << 32)), pa.array(fps[index]), pa.array(home)], ["anchor", "fp", "home"]
-            )
+def _parts(words: np.ndarray, n: int) -> list[np.ndarray]:
+    """32-bit words cut into ``n`` parts."""
+    cuts = [32 * i // n for i in range(n + 1)]
+    return [(words >> low) & ((1 << (high - low)) - 1) for low, high in zip(cuts, cuts[1:])]
+
+
+def _to_anchors(max_distance: int, home: bool) -> Callable:
+    """Fingerprints => ``anchor``, ``rest`` (the bits of a part of the other half) and ``fp``, for homes only or for all anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            for half in (0, 1):
+                index, near = _anchors((fps >> (32 * half)) & 0x7FFFFFFF)
+                if home:
+                    index, near = index[: len(fps)], near[: len(fps)]
+                other = (fps >> (32 * (1 - half))) & 0xFFFFFFFF
+                for i, part in enumerate(_parts(other, max_distance + 1)):
+                    key = near | (half << 31) | (i << 32)
+                    columns = [pa.array(key), pa.array(part[index]), pa.array(fps[index])]
+                    yield pa.RecordBatch.from_arrays(columns, ["anchor", "rest", "fp"])
+
+    return run
 
 
 def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``fps(fp)`` of distinct longs => each pair ``(u, v)``, u < v, at ``max_distance`` (3 at most) bits or fewer."""
     if not 0 <= max_distance <= 3:
         raise ValueError("the anchors cover distances of 3 bits at most")
-    sent = materialize(fps.select("fp").mapInArrow(_to_anchors, "anchor long, fp long, home boolean"), "anchors")
-    home = sent.where("home").select("anchor", F.col("fp").alias("u"))
-    near = sent.select("anchor", F.col("fp").alias("v"))
+    schema, fps = "anchor long, rest long, fp long", fps.select("fp")
+    home = fps.mapInArrow(_to_anchors(max_distance, True), schema).withColumnRenamed("fp", "u")
+    near = fps.mapInArrow(_to_anchors(max_distance, False), schema).withColumnRenamed("fp", "v")
     close = F.expr(f"u < v AND bit_count(u ^ v) <= {max_distance}")
-    return home.join(near, "anchor").where(close).select("u", "v").distinct()
+    return home.join(near, ["anchor", "rest"]).where(close).select("u", "v").distinct()
 
 
 def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,19 +153,19 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near-duplicates the one with its smallest id.
 
     Null ids come last. Should rows of a group repeat that id, the text with the smallest hash stays, once. Groups
-    count by their fingerprints, so those that share an id, or have none, each keep a row.
+    count by their fingerprints, so those that share an id, or have none, each keep a row. Whatever the caller's
+    columns are called, they come back as they were; an empty table gives an empty result.
     """
-    key = ["_none", "_key", "_hash"]
-    no_id, id_or_zero = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id"), F.lit(0).cast("long"))
-    first = F.min(F.struct(no_id.alias("_none"), id_or_zero.alias("_key"), F.col("text_hash").alias("_hash")))
+    key = ["none", "id", "hash"]
+    parts = lambda doc_id, text_hash: {
+        "none": doc_id.isNull(), "id": F.coalesce(doc_id, F.lit(0).cast("long")), "hash": text_hash
+    }
+    first = F.min(F.struct(*[c.alias(n) for n, c in parts(F.col("doc_id"), F.col("text_hash")).items()]))
     kept = group_near_duplicates(docs).groupBy("root").agg(first.alias("first")).select("first.*")
-    doc_id = F.col("doc_id").cast("long")
-    keyed = docs.withColumns(
-        {"_none": doc_id.isNull(), "_key": F.coalesce(doc_id, F.lit(0).cast("long")), "_hash": row_hash("text")}
-    )
-    one = Window.partitionBy(*key).orderBy("_key")
-    found = keyed.join(kept, key, "left_semi").withColumn("_n", F.row_number().over(one))
-    return found.where("_n = 1").select(*docs.columns)
+    keyed = boxed(docs, **parts(F.col("doc_id").cast("long"), row_hash("text")))
+    one = Window.partitionBy(*key).orderBy(*key)
+    found = keyed.join(kept, key, "left_semi").select("row", F.row_number().over(one).alias("nth"))
+    return found.where("nth = 1").select("row.*")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
