@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import WS, fresh_path, lookup, materialize, note, read_table
+from evgraph.llm.common import WS, boxed, fresh_path, lookup, materialize, note, read_table
 
 #: Digests of the first batch that make a bucket, and the fewest buckets.
 BUCKET_DIGESTS = 4 << 20
@@ -57,6 +57,11 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def entered(self) -> DataFrame:
+        """One row per digest: ``first_id`` and ``batch``. Two writers at once can both enter a digest; then the lesser batch counts."""
+        first = F.min(F.struct("batch", F.col("first_id").isNull().alias("none"), "first_id")).alias("entry")
+        return self.read().groupBy("digest").agg(first).select("digest", "entry.first_id", "entry.batch")
+
     def missing(self, groups: DataFrame) -> DataFrame:
         return groups.join(self.read().hint("merge"), "digest", "left_anti")
 
@@ -70,16 +75,20 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(
+    docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None
+) -> DataFrame:
     """Enter a batch into ``index`` and return one row per input row.
 
     Columns: the id, ``digest`` (binary SHA-256 of the normalised text), ``keep_id``,
     ``group_size`` (equal texts in this batch) and ``kept``. Of equal texts in a batch the row with
     the smallest id stays (null ids last; of rows alike in id too, one); a text that an
-    earlier batch entered keeps that batch's id, and no row of this batch stays. Null and
-    empty texts are equal. An empty batch gives an empty result. Extra columns are ignored.
+    earlier batch entered keeps that batch's id, and no row of this batch stays. ``batch`` names the batch: a call
+    repeated under its name after a failure, with the same rows, enters nothing twice and keeps the same rows; without a
+    name each call is a batch of its own. Null and empty texts are equal. An empty batch gives an empty
+    result. Extra columns are ignored.
     """
-    batch = uuid.uuid4().hex
+    batch = batch or uuid.uuid4().hex
     rows = materialize(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
@@ -97,7 +106,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     )
     index.prepare(groups.count())
     index.append(index.missing(groups), batch)
-    known = index.read().select("digest", F.col("first_id").alias("keep_id"), "batch").hint("merge")
+    known = index.entered().withColumnRenamed("first_id", "keep_id").hint("merge")
     groups = groups.drop("first_id").join(known, "digest")
     found = lookup(rows, groups, "digest", "group_size", rows.count())
     return found.select(
@@ -106,17 +115,19 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     )
 
 
-def drop_duplicates(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of ``docs`` that ``deduplicate`` keeps, with all their columns.
+def drop_duplicates(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``deduplicate`` keeps, with all their columns, whatever these are called.
 
     The join is by digest and id, so that copies spread over all tasks.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    kept = deduplicate(docs, index).where("kept").select(F.col("digest").alias("_digest"), key.alias("_key"))
-    keyed = docs.withColumn("_digest", F.unhex(text_sha256(F.col("text")))).withColumn("_key", key)
-    one = Window.partitionBy("_digest", "_key").orderBy("_key")
-    found = keyed.join(kept, ["_digest", "_key"], "left_semi").withColumn("_n", F.row_number().over(one))
-    return found.where("_n = 1").select(*docs.columns)
+    key = lambda c: [c.isNull().alias("none"), F.coalesce(c, F.lit(0).cast("long")).alias("id")]
+    names = ["digest", "none", "id"]
+    kept = deduplicate(docs, index, batch=batch).where("kept").select("digest", *key(F.col("doc_id")))
+    none, number = key(F.col("doc_id").cast("long"))
+    keyed = boxed(docs, digest=F.unhex(text_sha256(F.col("text"))), none=none, id=number)
+    one = Window.partitionBy(*names).orderBy(*names)
+    found = keyed.join(kept, names, "left_semi").select("row", F.row_number().over(one).alias("nth"))
+    return found.where("nth = 1").select("row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
