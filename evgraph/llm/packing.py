@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import deal, read_table, row_hash
+from evgraph.llm.common import deal, number_copies, read_table
 
 SEQUENCE_TOKENS = 1024
 END_ID = 0
@@ -141,15 +141,14 @@ def pack(
 
     Each document is its ids and then ``END_ID``; a null or empty text is that id alone. No
     sequence holds more than ``capacity`` ids, and each id lies in exactly one piece. Rows
-    that repeat are packed each for itself. Sequence ids are unique, not consecutive. An
+    that repeat are packed each for itself, and many copies of a row spread over all groups. Sequence ids are unique, not consecutive. An
     empty table gives no pieces. Extra columns are ignored. Groups are fixed by the rows, not by
     partitions, and rows have a fixed order in them, so that a task that is run again gives the same result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1)).first()[0] or 0
-    keyed = rows.withColumn("_u", row_hash("doc_id", "text", seed=seed))
-    keyed = keyed.withColumn("_group", F.pmod("_u", F.lit(size // group_bytes + 1)))
-    dealt = deal(keyed, size, "_group").sortWithinPartitions("_group", "_u", "doc_id").select("_group", "doc_id", "text")
+    keyed = number_copies(rows, seed).select("row.*", "draw", F.pmod("draw", F.lit(size // group_bytes + 1)).alias("group"))
+    dealt = deal(keyed, size, "group").sortWithinPartitions("group", "draw", "doc_id").select("group", "doc_id", "text")
     return dealt.mapInArrow(_pack_groups(capacity, make_encoder), SCHEMA)
 
 
