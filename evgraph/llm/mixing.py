@@ -9,12 +9,13 @@ up to that time is its position in tokens, and documents are ranged by position.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import WORD, WS, materialize, read_table, row_hash
+from evgraph.llm.common import WORD, WS, free_name, in_order, materialize, number_copies, read_table
 
 
 @dataclass(frozen=True)
@@ -44,94 +45,92 @@ def _cycled(values: tuple, at: Column) -> Column:
     return F.element_at(F.array(*[F.lit(float(v)) for v in values]), (at % len(values) + 1).cast("int"))
 
 
-def source_targets(cells: DataFrame, curriculum: Curriculum = Curriculum()) -> DataFrame:
-    """``cells(_key, source, size)`` => one row per source: its size, target and schedule.
+def source_targets(cells: DataFrame, curriculum: Curriculum = Curriculum()) -> tuple[DataFrame, float, float]:
+    """``cells(key, source, size)`` => one row per source with its size, target and schedule, and the mix's linear and square demand.
 
     Targets share the total by weight, but stop at ``max_epochs`` times the source's size;
     the level to which the others then rise has a closed form over the sources by their
-    ratio of bound to weight. One task sees one row per source here, never documents.
+    ratio of bound to weight. Both orders, by name and by ratio, run over all partitions, so sources may be
+    as many as hosts; a few sums reach the driver.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    filling = Window.orderBy(F.col("bound") / F.col("weight"), F.col("source").isNull(), "source")
-    everything = (Window.unboundedPreceding, Window.unboundedFollowing)
-    at = F.row_number().over(by_name) - 1
-    sources = (
-        cells.groupBy("_key").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))
-        .withColumn("weight", _cycled(curriculum.weights, at))
+    sources = cells.groupBy("key").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))
+    named = in_order(sources.withColumn("none", F.col("source").isNull()), "none", "source")
+    at = F.col("rank") - 1
+    named = (
+        named.withColumn("weight", _cycled(curriculum.weights, at))
         .withColumn("ramp_from", _cycled(tuple(a for a, _ in curriculum.ramps), at))
         .withColumn("ramp_to", _cycled(tuple(b for _, b in curriculum.ramps), at))
         .withColumn("bound", F.col("source_size") * curriculum.max_epochs)
-        .withColumn("total", F.sum("source_size").over(by_name.rowsBetween(*everything)))
-    )
-    full_before = F.coalesce(F.sum("bound").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rising = F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing))
-    sources = sources.withColumn("level", (F.col("total") - full_before) / rising)
-    fits = F.when(F.col("level") <= F.col("bound") / F.col("weight"), F.col("level"))
-    level = F.first(fits, ignorenulls=True).over(filling.rowsBetween(*everything))
-    sources = sources.withColumn("target", F.least(F.col("bound").cast("double"), F.col("weight") * level))
-    mean = (F.col("ramp_from") + F.col("ramp_to")) / 2
-    in_order = by_name.rowsBetween(*everything)
-    linear = F.sum(F.col("target") * F.col("ramp_from") / mean).over(in_order)
-    square = F.sum(F.col("target") * (F.col("ramp_to") - F.col("ramp_from")) / 2 / mean).over(in_order)
-    return sources.select(
-        "_key", "source_size", "target", "ramp_from", "ramp_to", linear.alias("linear"), square.alias("square")
+        .withColumn("ratio", F.col("bound") / F.col("weight"))
+        .drop("rank")
     )
+    filling = in_order(named, "ratio", "none", "source", sums=("bound", "weight"))
+    words, weights = filling.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(words or 0) - F.col("before_bound")) / (F.lit(float(weights or 1)) - F.col("before_weight"))
+    fits = F.min(F.when(level <= F.col("ratio"), F.struct("rank", level.alias("level"))))
+    found = filling.agg(fits.alias("found"), F.max("ratio").alias("last")).first()
+    reached = (found["found"]["level"] if found["found"] else found["last"]) or 0.0
+    target = F.least(F.col("bound").cast("double"), F.col("weight") * F.lit(float(reached)))
+    filling = filling.withColumn("target", target)
+    mean = (F.col("ramp_from") + F.col("ramp_to")) / 2
+    exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")  # noqa: E731  # sums that no order of rows changes
+    linear, square = filling.agg(
+        exact(F.col("target") * F.col("ramp_from") / mean),
+        exact(F.col("target") * (F.col("ramp_to") - F.col("ramp_from")) / 2 / mean),
+    ).first()
+    return filling.select("key", "source_size", "target", "ramp_from", "ramp_to"), linear or 0.0, square or 0.0
 
 
-def plan_mix(docs: DataFrame, size: Column, order_by: list[str], curriculum: Curriculum = Curriculum()) -> DataFrame:
-    """All columns of ``docs``, then ``_size``, ``_source_size``, ``_target``, ``_copies``.
+def plan_mix(docs: DataFrame, size: Callable[[Column], Column], order_by: list[str], curriculum: Curriculum = Curriculum()) -> DataFrame:
+    """``row`` (the caller's columns), ``size``, ``source_size``, ``target`` and ``copies``.
 
-    ``_copies`` has the ``position`` in training, in tokens, and the ``words`` of each copy that
+    ``size`` gives the words of a row. ``copies`` has the ``position`` in training, in tokens, and the ``words`` of each copy that
     the mix takes, at most ``max_epochs``; it is empty for documents that are left out. Copies
     are whole but for the one of each source that crosses its target, which ends there. ``order_by``
     names the columns that tell rows apart; rows alike in them are interchangeable. A source
     without words has target 0, documents without words are never taken, and a null source
     is a source like others. An empty table gives an empty result. A source's documents
-    are dealt to cells by a seeded hash, so that no source is put in order by one task.
+    are dealt to cells by a seeded hash, many copies of a row by a hash for each, so that no source is put in order by one task.
     """
-    key, cell = ["_key", "_cell"], F.pmod("_u", F.lit(docs.count() // curriculum.cell_rows + 1))
-    keyed = (
-        docs.withColumn("_size", size)
-        .withColumn("_u", row_hash(*order_by, seed=curriculum.seed))
-        .withColumn("_key", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")))
-        .withColumn("_cell", cell)
-    )
-    cells = materialize(
-        keyed.groupBy(*key).agg(F.min("source").alias("source"), F.sum("_size").alias("size")), "mix-cells"
-    )
-    earlier = Window.partitionBy("_key").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select(*key, F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("_before"))
-    offsets = offsets.join(source_targets(cells, curriculum), "_key")
-    inside = Window.partitionBy(*key).orderBy("_u", *order_by).rowsBetween(Window.unboundedPreceding, 0)
-    start = F.col("_before") + F.sum("_size").over(inside) - F.col("_size")
-    placed = keyed.join(offsets.hint("shuffle_hash"), key).withColumn("_start", start)
+    key, n = ["key", "cell"], docs.count() // curriculum.cell_rows + 1
+    source = F.col("row")["source"]
+    keyed = number_copies(docs, curriculum.seed).select(
+        "row", "draw", size(F.col("row")).alias("size"), source.alias("source"),
+        F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source)).alias("key"), F.pmod("draw", F.lit(n)).alias("cell"),
+    )
+    cells = materialize(keyed.groupBy(*key).agg(F.min("source").alias("source"), F.sum("size").alias("size")), "mix-cells")
+    offsets = in_order(cells.select(*key, "size"), *key, sums=("size",))
+    firsts = offsets.groupBy("key").agg(F.min("before_size").alias("first"))
+    targets, linear, square = source_targets(cells, curriculum)
+    offsets = offsets.join(firsts, "key").join(targets, "key").withColumn("before", F.col("before_size") - F.col("first"))
+    offsets = materialize(offsets.drop("size", "rank", "before_size", "first"), "mix-offsets")
+    inside = Window.partitionBy(*key).orderBy("draw", *[F.col("row")[c] for c in order_by]).rowsBetween(Window.unboundedPreceding, 0)
+    start = F.col("before") + F.sum("size").over(inside) - F.col("size")
+    placed = keyed.drop("source").join(offsets.hint("shuffle_hash"), key).withColumn("start", start)
     epochs = F.sequence(F.lit(0), F.lit(curriculum.max_epochs - 1))
     rise = F.col("ramp_to") - F.col("ramp_from")
 
     def position(at: Column) -> Column:
         demand = at / F.col("target") * (F.col("ramp_from") + F.col("ramp_to"))
         time = demand / (F.col("ramp_from") + F.sqrt(F.col("ramp_from") * F.col("ramp_from") + rise * demand))
-        return F.col("linear") * time + F.col("square") * time * time
+        return F.lit(linear) * time + F.lit(square) * time * time
 
-    copies = F.transform(epochs, lambda e: e * F.col("source_size") + F.col("_start"))
+    copies = F.transform(epochs, lambda e: e * F.col("source_size") + F.col("start"))
     copies = F.transform(
-        F.filter(copies, lambda at: (F.col("_size") > 0) & (F.round("target") > at)),
+        F.filter(copies, lambda at: (F.col("size") > 0) & (F.round("target") > at)),
         lambda at: F.struct(
             position(at).alias("position"),
-            F.least("_size", F.round("target").cast("long") - at).alias("words"),
+            F.least("size", F.round("target").cast("long") - at).alias("words"),
         ),
     )
-    return placed.select(
-        *docs.columns, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
-        copies.alias("_copies"),
-    )
+    return placed.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
 def range_sort(rows: DataFrame, position: Column, total_words: int, curriculum: Curriculum = Curriculum()) -> DataFrame:
     """Rows in the order of ``position`` over all partitions; null positions come last.
 
     Demand makes words dense evenly over positions, so equal ranges of them are equal shares of work
-    and no sample of the rows is needed to set the bounds.
+    and no sample of the rows is needed to set the bounds. Rows of equal position have no order among them.
     """
     n = total_words // curriculum.task_words + 1
     part = F.least((position / F.lit(total_words + 1.0) * n).cast("int"), F.lit(n - 1))
@@ -146,27 +145,30 @@ def first_words(text: Column, words: Column) -> Column:
 
 
 def mix(docs: DataFrame, text_col: str = "text", curriculum: Curriculum = Curriculum()) -> DataFrame:
-    """The training stream: the columns of ``docs``, one row per copy taken, and ``position``, which it is ranged by."""
-    text = F.col(text_col)
-    planned = plan_mix(docs, word_count(text), ["doc_id", text_col], curriculum)
-    total = docs.agg(F.sum(word_count(text))).first()[0] or 0
-    copies = planned.withColumn("_copy", F.explode("_copies"))
-    words = F.col("_copy.words")
-    cut = F.when(words < F.col("_size"), first_words(text, words)).otherwise(text)
-    copies = copies.withColumn(text_col, cut).select(*docs.columns, F.col("_copy.position").alias("position"))
-    return range_sort(copies, F.col("position"), total, curriculum)
+    """The training stream: the columns of ``docs``, one row per copy taken, and ``position``, which it is ranged by.
+
+    Should ``docs`` have a column ``position``, the new one gets underscores behind its name. Documents without words or of a null
+    text are never taken; ties are as in ``plan_mix`` and ``range_sort``; an empty table gives an empty result.
+    """
+    planned = plan_mix(docs, lambda row: word_count(row[text_col]), ["doc_id", text_col], curriculum)
+    total = docs.agg(F.sum(word_count(F.col(text_col)))).first()[0] or 0
+    copies = planned.withColumn("copy", F.explode("copies"))
+    words, text = F.col("copy.words"), F.col("row")[text_col]
+    cut = F.when(words < F.col("size"), first_words(text, words)).otherwise(text)
+    name = free_name(docs, "position")
+    copies = copies.select(F.col("row").withField(text_col, cut).alias("row"), F.col("copy.position").alias("at"))
+    return range_sort(copies.select("row.*", F.col("at").alias(name)), F.col(name), total, curriculum)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     light = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     light = materialize(light, "mix-sizes")
-    planned = plan_mix(light, F.col("size"), ["doc_id", "size"])
+    planned = plan_mix(light, lambda row: row["size"], ["doc_id", "size"])
     total = light.agg(F.sum("size")).first()[0] or 0
-    taken = F.aggregate("_copies", F.lit(0).cast("long"), lambda sum, copy: sum + copy["words"])
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda sum, copy: sum + copy["words"])
     rows = planned.select(
-        "doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        taken.alias("taken"), F.size("_copies").alias("copies"),
-        F.get("_copies", F.lit(0))["position"].alias("position"),
+        F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"), F.size("copies").alias("copies"),
+        F.get("copies", F.lit(0))["position"].alias("position"),
     )
     return range_sort(rows, F.col("position"), total)
