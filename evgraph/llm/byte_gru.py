@@ -33,6 +33,34 @@ def _forward(table: np.ndarray, u: np.ndarray, c: np.ndarray, seqs: np.ndarray,
     return np.stack(states), kept
 
 
+def _states(table: np.ndarray, u: np.ndarray, c: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """As ``_forward``, of ``steps`` (time, row): states (time, unit, row), computed in place for speed."""
+    units, (length, rows) = u.shape[0], steps.shape
+    sign = np.repeat(np.array([-1, -1, 1], table.dtype), units)[:, None]  # gates are 1 / (1 + exp(-x))
+    table, u, c = np.ascontiguousarray(table.T * sign), np.ascontiguousarray(u.T * sign), c[:, None]
+    out = np.empty((length, units, rows), table.dtype)
+    x, a = np.empty((3 * units, rows), table.dtype), np.empty((3 * units, rows), table.dtype)
+    gates, h = np.empty((2 * units, rows), table.dtype), np.zeros((units, rows), table.dtype)
+    for t in range(length):
+        n = out[t]
+        np.take(table, steps[t], axis=1, out=x, mode="clip")
+        np.matmul(u, h, out=a)
+        np.add(x[: 2 * units], a[: 2 * units], out=gates)
+        np.minimum(gates, 80, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        np.add(a[2 * units :], c, out=n)
+        n *= gates[units:]
+        n += x[2 * units :]
+        np.tanh(n, out=n)
+        h = h - n
+        h *= gates[:units]
+        n += h
+        h = n
+    return out
+
+
 def _backward(table: np.ndarray, u: np.ndarray, seqs: np.ndarray, kept: list, d_states: np.ndarray):
     """Gradients of ``table``, ``u`` and ``c`` by backpropagation through time."""
     h_size = u.shape[0]
@@ -80,54 +108,58 @@ class ByteGru:
         both = np.concatenate([ahead, back[::-1]], axis=2)
         return both @ w + b, both, kept_f, kept_b
 
-    def log_probs(self, seqs: np.ndarray) -> np.ndarray:
-        """Log probability of each label at each position: (time, row, label)."""
-        logits = self._logits(seqs)[0]
-        logits -= logits.max(axis=2, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
+    def label_sums(self, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Sum of the labels' log probabilities over the first ``lengths`` bytes of each window: (row, label)."""
+        tf, uf, cf, tb, ub, cb, w, b = self.params
+        steps, units = windows.T.astype(np.intp), uf.shape[0]
+        ahead, back = _states(tf, uf, cf, steps), _states(tb, ub, cb, steps[::-1])
+        w_ahead, w_back = np.ascontiguousarray(w[:units].T), np.ascontiguousarray(w[units:].T)
+        total = np.zeros((len(self.labels), len(windows)))
+        for t in range(len(steps)):
+            logits = w_ahead @ ahead[t] + w_back @ back[-1 - t] + b[:, None]
+            logits -= logits.max(axis=0)
+            logits -= np.log(np.exp(logits).sum(axis=0))
+            total += logits * (t < lengths)
+        return total.T
 
     def gradients(self, seqs: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Mean weighted cross-entropy over the positions, and its gradients."""
+        """Weighted cross-entropy, and its gradients; ``weights`` are for each position (row, time)."""
         units = self.params[1].shape[0]
         logits, both, kept_f, kept_b = self._logits(seqs, keep=True)
         logits -= logits.max(axis=2, keepdims=True)
         probs = np.exp(logits)
         probs /= probs.sum(axis=2, keepdims=True)
-        share = (weights / weights.sum() / seqs.shape[1]).astype(np.float32)
+        share = (weights / weights.sum()).T.astype(np.float32)
         rows = np.arange(len(seqs))
         loss = float(-(np.log(probs[:, rows, labels] + 1e-12) * share).sum())
         probs[:, rows, labels] -= 1
-        d_logits = probs * share[None, :, None]
+        d_logits = probs * share[:, :, None]
         d_w = np.einsum("trh,trl->hl", both, d_logits, optimize=True)
         d_both = d_logits @ self.params[6].T
         ahead = _backward(self.params[0], self.params[1], seqs, kept_f, d_both[:, :, :units])
         back = _backward(self.params[3], self.params[4], seqs[:, ::-1], kept_b, d_both[::-1, :, units:])
         return loss, [*ahead, *back, d_w, d_logits.sum(axis=(0, 1))]
 
-    def train(self, seqs: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int, batch: int, rate: float, rng: np.random.Generator) -> float:
-        """Adam over batches of byte strings of equal length; returns the last epoch's mean loss."""
-        lengths = np.fromiter(map(len, seqs), np.int64, len(seqs))
-        by_length = {n: np.flatnonzero(lengths == n) for n in np.unique(lengths)}
-        bytes_of = {n: np.frombuffer(b"".join(seqs[i] for i in at), np.uint8).reshape(-1, n) for n, at in by_length.items()}
+    def train(
+        self, windows: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.ndarray, epochs: int, batch: int, rate: float,
+        rng: np.random.Generator,
+    ) -> float:
+        """Adam over batches of byte windows, of which the first ``lengths`` bytes count; returns the last epoch's mean loss."""
+        inside = np.arange(windows.shape[1]) < lengths[:, None]
         first, second, step, mean = [0.0] * len(self.params), [0.0] * len(self.params), 0, 0.0
-        total = epochs * sum(-(-len(at) // batch) for at in by_length.values())
+        total = epochs * -(-len(windows) // batch)
         for _ in range(epochs):
-            parts = []
-            for n, at in by_length.items():
-                order = rng.permutation(len(at))
-                parts += [(n, order[i : i + batch]) for i in range(0, len(order), batch)]
-            losses = []
-            for k in rng.permutation(len(parts)):
-                n, take = parts[k]
-                at = by_length[n][take]
-                loss, grads = self.gradients(bytes_of[n][take], labels[at], weights[at])
+            order, losses = rng.permutation(len(windows)), []
+            for i in range(0, len(order), batch):
+                take = order[i : i + batch]
+                loss, grads = self.gradients(windows[take], labels[take], weights[take, None] * inside[take])
                 losses.append(loss)
                 step += 1
                 pace = rate * (1 - (step - 1) / total)
-                for i, g in enumerate(grads):
-                    first[i] = 0.9 * first[i] + 0.1 * g
-                    second[i] = 0.99 * second[i] + 0.01 * g * g
-                    change = first[i] / (1 - 0.9**step) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
-                    self.params[i] = (self.params[i] - pace * change).astype(np.float32)
+                for j, g in enumerate(grads):
+                    first[j] = 0.9 * first[j] + 0.1 * g
+                    second[j] = 0.99 * second[j] + 0.01 * g * g
+                    change = first[j] / (1 - 0.9**step) / (np.sqrt(second[j] / (1 - 0.99**step)) + 1e-8)
+                    self.params[j] = (self.params[j] - pace * change).astype(np.float32)
             mean = float(np.mean(losses))
         return mean

@@ -1,9 +1,8 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads a text word by word (its states start anew at white space) and labels
-every byte. A word's evidence is the mean log probability over its bytes; a document's is
-the sum over all its words, and its pooled probabilities are the softmax of that. Since
-evidence depends on the word alone, each distinct word of a batch is read once.
+The network reads a text in windows of bytes, across words and whatever the script, and labels every
+byte. A document's evidence is the sum of the log probabilities of all its bytes; its pooled probabilities
+are the softmax of that.
 """
 
 from __future__ import annotations
@@ -18,26 +17,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evgraph.llm.byte_gru import ByteGru
-from evgraph.llm.common import WS, read_table
+from evgraph.llm.common import boxed, materialize, read_table
 
 UNDETERMINED = "und"
-#: Longer words are read in pieces of so many bytes.
-PIECE = 32
-#: Pieces that the network reads at once, and code points of text whose words are gathered at once (one text at least).
-PASS_PIECES = 2048
-PASS_CHARS = 1 << 21
+#: Bytes that the network reads at once; a text's last window is filled up with spaces, which do not count.
+WINDOW = 64
+#: Windows that are read together, and code points of text that are cut into windows at once (one text at least).
+PASS_WINDOWS = 1024
+PASS_CHARS = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the sample that the network is fitted on, and how."""
+    """Bounds of the sample that the network is fitted on, and how.
 
-    docs_per_label: int = 400
-    words_per_label: int = 8000
-    units: int = 16
-    epochs: int = 3
-    batch: int = 256
+    About ``docs_per_label`` documents of each label are drawn, and of their windows ``windows_per_label``, first one of each
+    document, then a second one; with many labels fewer, so that there are ``windows`` in all at most. More labels than
+    that are an error.
+    """
+
+    docs_per_label: int = 1000
+    windows_per_label: int = 1500
+    windows: int = 100_000
+    units: int = 10
+    epochs: int = 4
+    batch: int = 64
     rate: float = 0.01
     seed: int = 5
 
@@ -47,74 +52,80 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample_words(docs: DataFrame, training: Training = Training()) -> pd.DataFrame:
-    """Columns ``lang``, ``word`` and ``n``, at most ``words_per_label`` rows per label.
+def windows_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a text, lower-cased, in windows (row, byte), and how many bytes of each belong to the text."""
+    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    rows = -(-len(data) // WINDOW)
+    out = np.full(rows * WINDOW, 32, np.uint8)
+    out[: len(data)] = data
+    return out.reshape(rows, WINDOW), np.minimum(WINDOW, len(data) - WINDOW * np.arange(rows))
+
+
+def sample_windows(docs: DataFrame, training: Training = Training()) -> pd.DataFrame:
+    """Columns ``lang``, ``window`` (binary) and ``length``: the sample that ``training`` bounds.
 
-    Only labelled documents with an id that is not held out are read. A seeded hash picks
-    about ``docs_per_label`` of each label; of their words the most frequent ones remain.
+    Only labelled documents with an id that is not held out are read. Seeded hashes pick the documents of each label and
+    the windows among all of theirs.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    doc_id, seed = F.col("doc_id"), training.seed
+    labelled = docs.where(F.col("lang").isNotNull() & doc_id.isNotNull() & F.col("text").isNotNull() & ~held_out(doc_id))
+    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.lit(seed), doc_id).alias("draw"))
+    counts = materialize(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")), "label-counts")
+    labels = counts.count()
+    if labels > training.windows:
+        raise ValueError(f"{labels} labels, but only {training.windows} windows to learn them from")
     share = F.least(F.lit(1.0), F.lit(float(training.docs_per_label)) / F.col("docs"))
-    draw = F.pmod(F.xxhash64(F.lit(training.seed), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = labelled.join(F.broadcast(counts.orderBy(F.desc("docs")).limit(1000)), "lang").where(draw < share)
-    words = picked.select("lang", F.explode(F.split(F.lower("text"), WS)).alias("word")).where("word <> ''")
-    words = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("word"), "word"))
-    return words.withColumn("rank", rank).where(F.col("rank") <= training.words_per_label).drop("rank").toPandas()
+    draw = F.pmod("draw", F.lit(1 << 20)) / F.lit(float(1 << 20))
+    picked = labelled.join(counts, "lang").where(draw < share).select("lang", "text", "draw")
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for lang, text, number in frame.itertuples(index=False):
+                windows, lengths = windows_of(text)
+                nth = np.random.default_rng(abs(number)).permutation(len(windows))
+                windows = [w.tobytes() for w in windows]
+                yield pd.DataFrame({"lang": lang, "window": windows, "length": lengths, "draw": number, "nth": nth})
+
+    found = picked.mapInPandas(cut, "lang string, window binary, length int, draw long, nth long")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("nth", "draw", "window"))
+    most = min(training.windows_per_label, training.windows // max(1, labels))
+    return found.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "window", "length").toPandas()
 
 
 def fit(docs: DataFrame, training: Training = Training()) -> ByteGru | None:
     """A network for the labels of ``docs``; None if there is nothing to learn from."""
-    words = sample_words(docs, training)
-    if words.empty:
+    found = sample_windows(docs, training)
+    if found.empty:
         return None
-    words = words.sort_values(["lang", "word"])
-    labels, index = np.unique(words["lang"], return_inverse=True)
-    weights = words["n"].to_numpy(np.float64) ** 0.75
-    weights /= np.bincount(index, weights)[index]
+    found = found.sort_values(["lang", "window", "length"])
+    labels, index = np.unique(found["lang"], return_inverse=True)
+    windows = np.frombuffer(b"".join(found["window"]), np.uint8).reshape(-1, WINDOW)
+    lengths = found["length"].to_numpy(np.int64)
+    weights = 1.0 / np.bincount(index, lengths)[index]
     rng = np.random.default_rng(training.seed)
     model = ByteGru.new([str(x) for x in labels], training.units, rng)
-    pieces = [w.encode()[:PIECE] for w in words["word"]]
-    model.train(pieces, index, weights, training.epochs, training.batch, training.rate, rng)
+    model.train(windows, lengths, index, weights, training.epochs, training.batch, training.rate, rng)
     return model
 
 
-def _evidence(model: ByteGru, words: list[bytes]) -> np.ndarray:
-    """Mean log probabilities over each word's bytes: (word, label)."""
-    total = np.zeros((len(words), len(model.labels)))
-    pieces: dict[int, tuple[list[int], list[bytes]]] = {}
-    for i, word in enumerate(words):
-        for at in range(0, len(word), PIECE):
-            piece = word[at : at + PIECE]
-            owners, texts = pieces.setdefault(len(piece), ([], []))
-            owners.append(i)
-            texts.append(piece)
-    for n, (owners, texts) in pieces.items():
-        seqs = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, n)
-        for at in range(0, len(seqs), PASS_PIECES):
-            np.add.at(total, owners[at : at + PASS_PIECES], model.log_probs(seqs[at : at + PASS_PIECES]).sum(axis=0))
-    return total / np.fromiter(map(len, words), np.float64, len(words))[:, None]
-
-
 def predict(model: ByteGru | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Label and pooled probability of each text; ``und`` and 0 for null or a text without a letter."""
-    names, scores, ids, bounds, index = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [], [0], {}
-    if model is None:
+    """Label and pooled probability of each text; ``und`` and 0 for null or a text without a letter, and without a model."""
+    names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    read = [i for i, text in enumerate(texts) if model is not None and text is not None and _LETTER.search(text)]
+    if not read:
         return names, scores
-    for text in texts:
-        if text is not None and _LETTER.search(text):
-            words = text.lower().encode("utf-8", "surrogatepass").split()
-            ids.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
-        else:
-            ids.append(None)
-    evidence = _evidence(model, list(index))
-    for i, words in enumerate(ids):
-        if words is not None:
-            pooled = evidence[words].sum(axis=0)
-            pooled = np.exp(pooled - pooled.max())
-            best = int(pooled.argmax())
-            names[i], scores[i] = model.labels[best], float(pooled[best] / pooled.sum())
+    cut = [windows_of(texts[i]) for i in read]
+    windows, lengths = (np.concatenate(side) for side in zip(*cut))
+    owner = np.repeat(np.arange(len(read)), [len(w) for w, _ in cut])
+    evidence = np.zeros((len(read), len(model.labels)))
+    for at in range(0, len(windows), PASS_WINDOWS):
+        part = slice(at, at + PASS_WINDOWS)
+        np.add.at(evidence, owner[part], model.label_sums(windows[part], lengths[part]))
+    pooled = np.exp(evidence - evidence.max(axis=1, keepdims=True))
+    best = pooled.argmax(axis=1)
+    scores[read] = pooled.max(axis=1) / pooled.sum(axis=1)
+    for i, label in zip(read, best):
+        names[i] = model.labels[label]
     return names, scores
 
 
@@ -149,13 +160,21 @@ def predict_languages(texts: Column, model: ByteGru | None) -> Column:
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is determined with at least ``least_score``."""
-    found = docs.withColumn("_found", predict_languages(F.col("text"), fit(docs)))
-    kept = (F.col("_found.lang_pred") != UNDETERMINED) & (F.col("_found.score") >= least_score)
-    return found.where(kept).select(*docs.columns)
+    """The rows of ``docs`` whose language is determined with at least ``least_score``, with their columns as they were.
+
+    Null texts and those without a letter go; repeated rows and null ids are rows like others. Where no label can be
+    learned there is nothing to reject a document by, and all that have a letter stay. An empty table gives an empty result.
+    """
+    model = fit(docs)
+    if model is None:
+        return docs.where(F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)))
+    found = boxed(docs, found=predict_languages(F.col("text"), model))
+    kept = (F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= least_score)
+    return found.where(kept).select("row.*")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, repeated rows and null ids included; an empty table gives an empty result."""
     docs = read_table(spark, sf_dir, "documents")
     found = docs.select("doc_id", predict_languages(F.col("text"), fit(docs)).alias("found"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score")
