@@ -192,16 +192,16 @@ def test_no_page_of_a_large_host_misses_its_template(spark, partitions):
 
 def brute_chats(rows):
     convs = {}
-    for conv, turn, role, text in sorted(rows, key=lambda r: [(x is not None, x) for x in r]):
-        convs.setdefault(conv, []).append((role, text))
+    for i, (conv, turn, role, text) in enumerate(sorted(rows, key=lambda r: [(x is not None, x) for x in r])):
+        convs.setdefault(("none", i) if conv is None else conv, []).append((role, text))
     kept = {}
     for conv, turns in convs.items():
         longer = any(len(o) > len(turns) and o[: len(turns)] == turns for o in convs.values())
         same = [c for c, o in convs.items() if o == turns]
-        if not longer and conv == min(same, key=lambda c: (c is None, c or 0)):
+        if not longer and conv == min(same, key=lambda c: (isinstance(c, tuple), c)):
             shown = "".join(f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n" for r, t in turns)
-            kept[conv] = (len(turns), len(same), shown)
-    return kept
+            kept.setdefault(None if isinstance(conv, tuple) else conv, []).append((len(turns), len(same), shown))
+    return {conv: sorted(found) for conv, found in kept.items()}
 
 
 def test_snapshots_collapse(spark):
@@ -212,11 +212,14 @@ def test_snapshots_collapse(spark):
         for turn in range(int(rng.integers(1, 7))):
             rows.append((conv, turn, ["user", "assistant"][turn % 2], f"line {line} turn {turn}"))
     rows += [(200, 0, None, "a"), (201, 0, "user", None), (202, None, "user", "n"), (202, 1, "user", ""), (203, None, "user", "n"), (None, 0, "user", "no id")]
+    rows += [(None, i % 3, ["user", None][i % 2], "no id %d" % (i % 5)) for i in range(40)] + [(None, 5, "user", "twice"), (204, 0, "user", "no id 1")]
     rows += [(300, 0, "user", "twice"), (300, 0, "user", "twice"), (301, 0, "user", "twice"), (302, 0, "user", "x" * 100_000)]
     schema = "conv_id long, turn long, role string, text string, place int, n_turns int, h1 int"
     df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], schema).repartition(5)
-    got = {r["conv_id"]: (r["n_turns"], r["copies"], r["text"]) for r in chat.format_chats(df).collect()}
-    assert got == brute_chats(rows)
+    got = {}
+    for r in chat.format_chats(df).collect():
+        got.setdefault(r["conv_id"], []).append((r["n_turns"], r["copies"], r["text"]))
+    assert {conv: sorted(found) for conv, found in got.items()} == brute_chats(rows)
     assert chat.format_chats(df.where("false")).count() == 0
 
 
@@ -227,7 +230,7 @@ def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     model = byte_gru.ByteGru.new(["a", "b", "c"], 4, rng)
     model.params = [p.astype(np.float64) for p in model.params]
-    seqs, labels, weights = rng.integers(0, 256, (5, 6)).astype(np.uint8), rng.integers(0, 3, 5), rng.random(5)
+    seqs, labels, weights = rng.integers(0, 256, (5, 6)).astype(np.uint8), rng.integers(0, 3, 5), rng.random((5, 6))
     _, grads = model.gradients(seqs, labels, weights)
     for p, g in zip(model.params, grads):
         for _ in range(4):
@@ -263,9 +266,48 @@ def test_undetermined_texts_and_tables_without_labels(spark, docs, no_docs, writ
 
 def test_nothing_is_learned_from_held_out_documents(spark, docs):
     secret = docs.withColumn("text", F.when(language_id.held_out(F.col("doc_id")), "secretword").otherwise(F.col("text")))
-    words = language_id.sample_words(secret)
-    assert len(words) and "secretword" not in set(words["word"])
-    assert words.groupby("lang").size().max() <= language_id.Training().words_per_label
+    found = language_id.sample_windows(secret)
+    assert len(found) and not any(b"secretword" in w for w in found["window"])
+    few = language_id.sample_windows(docs, language_id.Training(windows_per_label=10, windows=7))
+    assert 2 <= len(few) <= 7 and few.groupby("lang").size().max() == 7 // few["lang"].nunique()
+
+
+def test_windows_hold_every_byte_and_labels_are_not_cut(spark):
+    for text in ("", "a", "x" * 64, "é" * 40, "日本語" * 50):
+        windows, lengths = language_id.windows_of(text)
+        assert b"".join(w[:n].tobytes() for w, n in zip(windows, lengths)).decode() == text
+    rows = [(4 * i, f"the words of label {i} " * 3, f"l{i}") for i in range(1200)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.sample_windows(many)
+    known = {r["lang"] for r in many.where(~language_id.held_out(F.col("doc_id"))).collect()}
+    assert set(found["lang"]) == known and len(known) > 800
+    with pytest.raises(ValueError):
+        language_id.sample_windows(many, language_id.Training(windows=100))
+
+
+def test_sums_are_those_of_the_training_pass():
+    rng = np.random.default_rng(3)
+    model = byte_gru.ByteGru.new(["a", "b", "c"], 5, rng)
+    windows, lengths = rng.integers(0, 256, (7, 12)).astype(np.uint8), rng.integers(1, 13, 7)
+    logits = model._logits(windows)[0]
+    logs = logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
+    want = [logs[:n, i].sum(axis=0) for i, n in enumerate(lengths)]
+    assert np.allclose(model.label_sums(windows, lengths), want, atol=1e-4)
+
+
+def test_scripts_without_spaces_are_learned(spark):
+    rng = np.random.default_rng(4)
+    kana, han = "あいうえおかきくけこさしすせそ", "的一是不了人我在有他这中大来上"
+    make = lambda letters, n: "".join(rng.choice(list(letters), n))
+    rows = [(i, make(kana if i % 2 else han, 200), "ja" if i % 2 else "zh") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = docs.select("lang", language_id.predict_languages(F.col("text"), language_id.fit(docs)).alias("f")).collect()
+    assert np.mean([r["lang"] == r["f"]["lang_pred"] for r in out]) > 0.95
+
+
+def test_documents_stay_where_nothing_can_be_learned(spark, docs):
+    kept = language_id.keep_identified(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.count() == docs.where(F.regexp_like("text", F.lit(r"\p{L}"))).count() > 50
 
 
 # Vectors
@@ -340,6 +382,21 @@ def test_recall_at_the_least_cosine(spark):
     assert cross_polytope.group_vectors(df).count() == 0
 
 
+@pytest.mark.parametrize("hashes", [1, 2, 3, 4, 5])
+def test_recall_stays_with_more_hashes(hashes):
+    """The share of pairs at cosine 0.951 that meet, with the hashes of tables up to 10^10 vectors."""
+    rng, hashing = np.random.default_rng(hashes), cross_polytope.Hashing(hashes, 2 + 3 * hashes)
+    assert cross_polytope.Hashing.of(8 * 256 ** (hashes - 1) + 100, 128) == hashing
+    a = rng.normal(size=(400, 128))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    b = 0.951 * a + np.sqrt(1 - 0.951**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = cross_polytope.axes_of(a, hashing), cross_polytope.axes_of(b, hashing)
+    met = cross_polytope.visits_home(x, y) | cross_polytope.visits_home(y, x)
+    assert met.any(axis=1).mean() >= 0.95
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(3, 16))
     y = cross_polytope._hadamard(x)

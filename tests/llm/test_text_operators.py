@@ -10,8 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from evgraph.llm import components, exact_dedup, line_dedup, mixing, packing, sharding, simhash
-from evgraph.llm.common import TASK_BYTES, deal, fresh_path
+from evgraph.llm import components, exact_dedup, language_id, line_dedup, mixing, packing, sharding, simhash
+from evgraph.llm.common import TASK_BYTES, deal, fresh_path, in_order, number_copies
 from tests.llm.conftest import sentence
 
 BIG = 1 << 62
@@ -33,9 +33,9 @@ def test_shards_hold_every_row_once_in_gapless_slots(docs, doc_rows):
     assert Counter((r["doc_id"], r["text"], r["source"]) for r in out) == Counter((r[0], r[1], r[3]) for r in doc_rows)
     slots = defaultdict(list)
     for r in out:
-        slots[r["_shard"]].append(r["_slot"])
+        slots[r["_shard_"]].append(r["_slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert {len({r["_shard"] for r in out if r["doc_id"] == i}) for i in range(60)} == {1}
+    assert {len({r["_shard_"] for r in out if r["doc_id"] == i}) for i in range(60)} == {1}
 
 
 def test_one_more_shard_takes_rows_only_into_itself(spark):
@@ -71,9 +71,70 @@ def test_op1(write_tables, docs, no_docs, spark, doc_rows):
     assert sharding.op1_sharding(spark, write_tables(documents=no_docs)).count() == 0
 
 
+def test_copies_spread_and_slots_follow_from_the_records(spark, docs):
+    same = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.lit("same").alias("text"), F.lit(9).alias("_shard"), F.lit("x").alias("n"))
+    table = same.unionByName(spark.range(300).select("id", F.lit("t").alias("text"), F.lit(9).alias("_shard"), F.lit("y").alias("n")).withColumnRenamed("id", "doc_id"))
+    numbered = number_copies(table)
+    assert numbered.count() == 20_300 and numbered.select("draw").distinct().count() == 20_300
+    assert numbered.groupBy(F.pmod("draw", F.lit(16))).count().agg(F.max("count")).first()[0] < 1600
+    want = None
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    for n in (3, 50):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = sharding.shard(table, 3)
+        assert got.columns == ["doc_id", "text", "_shard", "n", "_shard_", "_slot"]
+        got = sorted(map(tuple, got.collect()))
+        want = want or got
+        assert got == want and {r[2] for r in got} == {9}
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_fisher_yates_is_what_it_says(spark):
+    def brute(n, seed, draws):
+        a = list(range(n))
+        for place in range(n - 1, 0, -1):
+            other = draws[place] % (place + 1)
+            a[place], a[other] = a[other], a[place]
+        return a
+
+    for n in (0, 1, 2, 3, 40):
+        rows = spark.range(1).select(F.sequence(F.lit(0), F.lit(n - 1)).alias("a") if n else F.array().cast("array<int>").alias("a"))
+        got = rows.select(sharding.fisher_yates(F.col("a"), F.lit(4), seed=7)).first()[0]
+        draws = spark.range(n + 1).select(F.xxhash64(F.lit(7), F.lit(4), F.col("id").cast("int"))).collect()
+        assert got == brute(n, 7, [r[0] for r in draws])
+
+
 # Exact deduplication
 
 
+def test_a_repeated_batch_keeps_the_same_rows(spark, docs):
+    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "index"), 4)
+    once, again = (exact_dedup.deduplicate(docs, index, batch="b1") for _ in range(2))
+    assert sorted(map(str, once.collect())) == sorted(map(str, again.collect())) and once.where("kept").count() == index.read().count()
+    assert exact_dedup.drop_duplicates(docs, index, batch="b1").count() == index.read().count()
+    assert exact_dedup.deduplicate(docs, index, batch="b2").where("kept").count() == 0
+
+
+CLASH = "_key _hash _n _digest _cell _u _size _copy _found _none _group _bucket none id hash row draw nth digest position".split()
+
+
+def test_columns_of_any_name_come_back_as_they_were(spark, doc_rows):
+    rows = [(*r, *[f"{c}{i}" for c in CLASH]) for i, r in enumerate(doc_rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
+    docs = spark.createDataFrame(rows, schema).repartition(2)
+    given = {(r[0], r[1], *r[5:]) for r in rows}
+    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "index"), 4)
+    results = [
+        exact_dedup.drop_duplicates(docs, index), simhash.keep_one_of_each(docs), sharding.shard(docs, 2), mixing.mix(docs),
+        line_dedup.deduplicate_lines(docs), language_id.keep_identified(docs),
+    ]
+    for out in results:
+        assert out.columns[: len(docs.columns)] == docs.columns
+        seen = {tuple(r[5 : len(docs.columns)]) for r in out.collect()}
+        assert seen and seen <= {g[2:] for g in given}
+
+
 def normal(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
@@ -167,6 +228,13 @@ def test_simhash_matches_brute_force(spark, docs, doc_rows, write_tables):
     assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in out) == want
 
 
+def test_fingerprints_alike_in_a_half_do_not_all_meet(spark):
+    rng = np.random.default_rng(2)
+    fps = spark.createDataFrame([(int(x) << 32 | 77,) for x in set(rng.integers(0, 1 << 31, 2000).tolist())], "fp long")
+    near = fps.mapInArrow(simhash._to_anchors(2, False), "anchor long, rest long, fp long")
+    assert near.groupBy("anchor", "rest").count().agg(F.max("count")).first()[0] < 100
+
+
 @pytest.mark.parametrize("distance", [0, 1, 2, 3])
 def test_no_link_is_lost(spark, distance):
     rng = np.random.default_rng(distance)
@@ -181,8 +249,8 @@ def test_no_link_is_lost(spark, distance):
 
 def test_one_of_each_near_group_stays(docs, no_docs, doc_rows):
     out = simhash.keep_one_of_each(docs)
-    comps = {r["component_id"] for r in simhash.group_near_duplicates(docs).collect()}
-    assert out.columns == docs.columns and sorted(map(str, comps)) == sorted(str(r["doc_id"]) for r in out.collect())
+    comps = {r["root"]: r["component_id"] for r in simhash.group_near_duplicates(docs).collect()}
+    assert out.columns == docs.columns and sorted(map(str, comps.values())) == sorted(str(r["doc_id"]) for r in out.collect())
     assert simhash.group_near_duplicates(no_docs).count() == 0 and simhash.keep_one_of_each(no_docs).count() == 0
 
 
@@ -233,7 +301,7 @@ def xx(text):
     return spark.createDataFrame([(text,)], "text string").select(row_hash("text")).first()[0]
 
 
-@pytest.mark.parametrize("min_lines,min_words", [(2, 50), (3, 4), (1, 1000), (5, 50)])
+@pytest.mark.parametrize("min_lines,min_words", [(2, 50), (3, 4), (1, 1000)])
 def test_line_runs_match_brute_force(docs, doc_rows, min_lines, min_words):
     out = line_dedup.deduplicate_lines(docs, min_lines, min_words)
     want = brute_lines(doc_rows, min_lines, min_words)
@@ -248,10 +316,42 @@ def test_op5(spark, write_tables, docs, no_docs):
     assert line_dedup.op5_line_dedup(spark, write_tables(documents=no_docs)).count() == 0
 
 
-def test_ranks_follow_the_order_of_keys(spark):
-    keys = spark.createDataFrame([(i * 37 % 500, "k") for i in range(500)], "a long, b string").distinct()
-    rows = line_dedup.dense_ranks(keys, "a").collect()
-    assert sorted((r["rank"], r["a"]) for r in rows) == [(i + 1, i) for i in range(500)]
+def brute_suffixes(docs):
+    """All suffixes, the common prefix of two, the longest that each shares with another, and the maximal runs."""
+    places = [(d, i) for d, doc in enumerate(docs) for i in range(len(doc))]
+
+    def common(p, q):
+        a, b = docs[p[0]][p[1] :], docs[q[0]][q[1] :]
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    longest = {p: max([common(p, q) for q in places if q != p] or [0]) for p in places}
+    runs = {(*p, n) for p, n in longest.items() if n >= 2 and longest.get((p[0], p[1] - 1)) != n + 1}
+    return places, common, longest, runs
+
+
+def test_suffix_array_and_runs_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    docs = [[int(x) for x in rng.integers(0, 12, rng.integers(1, 15))] for _ in range(12)]
+    docs += [docs[0], docs[1] + docs[2], [1] * 9, [1] * 6, list(range(40)), [99, *range(40)], list(range(3, 40)), []]
+    rows = [(d, i, line) for d, doc in enumerate(docs) for i, line in enumerate(doc)]
+    table = line_dedup.suffix_array(spark.createDataFrame(rows, "doc long, line_no int, line_id long").repartition(3))
+    array = sorted(table.collect(), key=lambda r: r["place"])
+    places, common, longest, runs = brute_suffixes(docs)
+    at = [(r["doc"], r["line_no"]) for r in array]
+    assert max(len(r["history"]) for r in array) == 6  # 37 lines occur again: 1, 2, 4, ... 32, and none of 64
+    assert sorted(at) == places and [r["place"] for r in array] == list(range(1, len(places) + 1))
+    prefixes = {r["place"]: r["lcp"] for r in line_dedup.common_prefixes(table).collect()}
+    assert prefixes == {1: 0} | {i: common(p, q) for i, (p, q) in enumerate(zip(at, at[1:]), 2)}
+    assert all(max(prefixes[i], prefixes.get(i + 1, 0)) == longest[p] for i, p in enumerate(at, 1))
+    found = line_dedup.maximal_runs(line_dedup.common_prefixes(table), 2).collect()
+    assert {(r["doc"], r["line_no"], r["lines"]) for r in found} == runs and len(found) == len(runs)
+
+
+def test_ranks_and_sums_follow_the_order_of_keys(spark):
+    keys = spark.createDataFrame([(i * 37 % 500, "k", i) for i in range(500)], "a long, b string, n long").distinct()
+    rows = in_order(keys, "a", sums=("n",)).orderBy("rank").collect()
+    assert [(r["rank"], r["a"]) for r in rows] == [(i + 1, i) for i in range(500)]
+    assert [r["before_n"] for r in rows] == [sum(r["n"] for r in rows[:i]) for i in range(500)]
 
 
 # Mixing
@@ -276,7 +376,7 @@ def brute_targets(sizes, weights=(5, 2, 1), most=3):
 def test_targets_fill_up_to_their_bounds(spark):
     for sizes in ({"a": 1, "b": 100, "c": 900}, {"a": 5, None: 7}, {"x": 10}, {"a": 0, "b": 3, "z": 0}, {f"s{i:03}": i * i for i in range(50)}):
         rows = [(f"k{s}", s, n) for s, n in sizes.items()]
-        got = {r["_key"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "_key string, source string, size long")).collect()}
+        got = {r["key"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "key string, source string, size long"))[0].collect()}
         want = brute_targets(sizes)
         assert got == {f"k{s}": pytest.approx(t) for s, t in want.items()}
 
@@ -304,6 +404,17 @@ def test_mix_takes_what_the_targets_ask(spark, docs, no_docs, doc_rows, write_ta
     assert mixing.op7_mixing(spark, write_tables(documents=no_docs)).count() == 0
 
 
+def test_copies_of_a_row_spread_over_cells_and_groups(spark):
+    same = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"))
+    plan = mixing.plan_mix(same, lambda row: mixing.word_count(row["text"]), ["doc_id", "text"], mixing.Curriculum(cell_rows=100))
+    taken = [w["words"] for r in plan.collect() for w in r["copies"]]
+    assert sum(taken) == 6000 and plan.count() == 3000
+    pieces = packing.pack(same, group_bytes=1000)
+    assert pieces.agg(F.sum("length"), F.count("*")).first() == (9000, 3000)
+    groups = pieces.groupBy(F.shiftright("sequence_id", 32)).count().agg(F.count("*"), F.max("count")).first()
+    assert groups[0] > 5 and groups[1] < 900
+
+
 def test_stream_is_ranged_and_holds_the_words(docs, no_docs, doc_rows):
     curriculum = mixing.Curriculum(cell_rows=7, task_words=10_000)
     out = mixing.mix(docs, curriculum=curriculum)
