@@ -9,23 +9,23 @@ from evgraph.llm.common import fresh_path, materialize, read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language stays in doubt."""
+    """Drops documents without a letter (null texts too) and those whose language stays in doubt; all else stays if no label can be learned."""
     return language_id.keep_identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the smallest doc_id stays."""
+    """Of equal texts, the smallest doc_id stays, null ids last; of rows alike in id too, one."""
     index = exact_dedup.DigestIndex(spark, fresh_path(spark, "digest-index"))
     return exact_dedup.drop_duplicates(docs, index)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the smallest doc_id stays."""
+    """Of each group of near-duplicates one row stays: that of the smallest doc_id, null ids last."""
     return simhash.keep_one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training stream: documents as often as their source's target asks for, in order."""
+    """The training stream: documents as often as their source's target asks for, in order. Those without words are never taken."""
     return mixing.mix(docs).select(*docs.columns)
 
 
@@ -47,6 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the packed stream.
+
+    Nulls, ties and repeated rows are treated as each stage states. Extra columns, whatever they are called, pass through all stages but the
+    last; it gives its own columns. An empty table gives no pieces.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

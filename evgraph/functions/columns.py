@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evgraph.schema import EDGE, NODE
 
 __all__ = [
-    "basename", "edge_id", "edge_line", "edge_record", "evidence", "json_for_html", "namespace_of", "node_id",
+    "basename", "edge_id", "edge_line", "edge_record", "evidence", "is_within", "json_for_html", "namespace_of", "node_id",
     "node_record", "normalize_id", "posix_path", "qualify", "quoted", "relativize_path", "resolve_relative",
     "route_from_parts", "simple_name", "slugify",
 ]
@@ -66,6 +66,17 @@ def relativize_path(path: Column, root: Column) -> Column:
     return F.when(path == root, ".").when(F.startswith(path, below), F.substr(path, F.length(below) + 1)).otherwise(path)
 
 
+def is_within(root: Column, path: Column) -> Column:
+    """Whether a path is the root or lies below it, after ``.`` and ``..`` are folded; links are not followed."""
+    inside = relativize_path(_folded(path), _folded(root))
+    return (inside == ".") | ~(F.startswith(inside, F.lit("/")) | F.startswith(inside, F.lit("..")))
+
+
+def _folded(path: Column) -> Column:
+    absolute = F.startswith(path, F.lit("/"))
+    return F.concat(F.when(absolute, "/").otherwise(""), resolve_relative(F.lit(""), path))
+
+
 def resolve_relative(file: Column, spec: Column) -> Column:
     """A relative import of ``file``: ``.`` and ``..`` are folded, no extension is added."""
     segments = F.split(spec, "/")

@@ -178,3 +178,13 @@ def find_focus(nodes: DataFrame, text: str) -> DataFrame:
     """The node with this id, else the first by id whose qualified name or name it is."""
     hits = nodes.where((F.col("id") == text) | (F.col("qualified_name") == text) | (F.col("name") == text))
     return hits.orderBy(F.col("id") != text, "id").limit(1)
+
+
+def kinds(rows: DataFrame) -> DataFrame:
+    """Each kind that the nodes or edges have."""
+    return rows.select("kind").distinct()
+
+
+def evidence_of(edges: DataFrame, edge_id: str) -> DataFrame:
+    """The evidence of an edge: ``file``, ``line_start``, ``line_end`` and ``rev``; no row if there is no such edge."""
+    return edges.where(F.col("id") == edge_id).select("evidence.*")

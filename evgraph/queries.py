@@ -408,7 +408,9 @@ def viewer_list(spark, sf_dir):
     return render.viewer_rows(g.nodes, g.edges, g.nodes.where("kind IN ('project', 'module')"))
 
 
-START, END, DEPTH = "project:ASIA", "project:EUROPE", 8
+START, END = "project:ASIA", "project:EUROPE"
+#: Levels of the search in SQL, which has no loop; more than the graph of the tables is deep.
+DEPTH = 10
 
 
 def _bfs_sql(levels: int) -> str:
@@ -428,7 +430,7 @@ def _bfs_sql(levels: int) -> str:
 def bfs_distance(spark, sf_dir):
     g = tabular.graph(spark, sf_dir)
     arcs = P.materialize(G.adjacency(g.nodes, g.edges), "arcs")
-    return P.distances(arcs, START, DEPTH)
+    return P.distances(arcs, START)
 
 
 @query(_bfs_sql(DEPTH) + ", hit AS (" + " UNION ALL ".join(f"SELECT edges, ways FROM l{k} WHERE id = '{END}'" for k in range(DEPTH + 1)) + """)
@@ -436,7 +438,7 @@ SELECT unnest(range(1, len(edges) + 1)) AS hop, unnest(edges) AS edge_id, unnest
 def bfs_path(spark, sf_dir):
     g = tabular.graph(spark, sf_dir)
     arcs = P.materialize(G.adjacency(g.nodes, g.edges), "arcs")
-    return P.shortest_path(g.nodes, arcs, START, END, DEPTH)
+    return P.shortest_path(g.nodes, arcs, START, END)
 
 
 # Maintenance
@@ -700,3 +702,130 @@ UNION ALL SELECT 'edges', id, '- ' || src || ' --[' || kind || ' ' || nature ||
 def graph_context(spark, sf_dir):
     g = tabular.graph(spark, sf_dir)
     return render.context_lines(g.nodes, g.edges)
+
+
+# Scalars
+
+
+@query(r"""
+SELECT p_partkey, 'a/' || p_brand || '/b' AS posix, p_brand || ' ' || p_partkey AS trimmed, 'part:' || p_brand || ' ' || p_partkey AS node_id,
+  p_brand || '.' || p_name AS qualified, p_brand AS namespace, split_part(p_name, '.', -1) AS simple, p_name AS base,
+  'src/' || p_name AS below, '.' AS itself, '/other/' || p_name AS elsewhere, '\u003cb>' || p_brand AS html
+FROM part
+""", graph=False)
+def scalar_names(spark, sf_dir):
+    c = lambda *parts: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])
+    brand, name, key, root = F.col("p_brand"), F.col("p_name"), F.col("p_partkey").cast("string"), F.lit("/repo")
+    blanks = c("  ", brand, " \t\n ", key, " ")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", C.posix_path(c("a\\", brand, "\\b")).alias("posix"), C.normalize_id(blanks).alias("trimmed"),
+        C.node_id(F.lit("part"), blanks).alias("node_id"), C.qualify(brand, F.lit(""), F.lit(None), name).alias("qualified"),
+        C.namespace_of(c(brand, ".X")).alias("namespace"), C.simple_name(c("A.B.", name, "<int>")).alias("simple"),
+        C.basename(c("a/b/", name)).alias("base"), C.relativize_path(c("/repo/src/", name), root).alias("below"),
+        C.relativize_path(root, root).alias("itself"), C.relativize_path(c("/other/", name), root).alias("elsewhere"),
+        C.json_for_html(c("<b>", brand)).alias("html"),
+    )
+
+
+@query("""
+SELECT n_nationkey, true AS itself, true AS below, true AS folded, n_nationkey % 2 = 0 AS up, false AS beside, false AS above FROM nation
+""", graph=False)
+def is_within(spark, sf_dir):
+    name, root = F.col("n_name"), F.concat(F.lit("/repo/"), "n_name")
+    path = lambda *parts: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])
+    sometimes = F.when(F.col("n_nationkey") % 2 == 0, path("/repo/", name, "/a/../b")).otherwise(path("/repo/", name, "/a/../../b"))
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey", C.is_within(root, root).alias("itself"), C.is_within(root, path(root, "/x/y")).alias("below"),
+        C.is_within(root, path(root, "/x/../y/.")).alias("folded"), C.is_within(root, sometimes).alias("up"),
+        C.is_within(root, path(root, "2/x")).alias("beside"), C.is_within(root, F.lit("/repo")).alias("above"),
+    )
+
+
+@query("SELECT DISTINCT 'node' AS part, kind FROM nodes UNION ALL SELECT DISTINCT 'edge', kind FROM edges")
+def distinct_kinds(spark, sf_dir):
+    g = tabular.graph(spark, sf_dir)
+    return G.kinds(g.nodes).select(F.lit("node").alias("part"), "kind").unionByName(G.kinds(g.edges).select(F.lit("edge").alias("part"), "kind"))
+
+
+SUPPLY = "(SELECT min(id) FROM edges WHERE kind = 'implements')"
+
+
+@query(f"SELECT ev_file AS file, ev_line AS line_start FROM edges WHERE id = {SUPPLY}")
+def edge_evidence(spark, sf_dir):
+    edges = tabular.edges(spark, sf_dir)
+    first = edges.where("kind = 'implements'").agg(F.min("id")).first()[0]
+    return G.evidence_of(edges, first).select("file", "line_start")
+
+
+@query(f"SELECT id FROM edges WHERE kind = 'implements' AND id <> {SUPPLY}")
+def remove_edge(spark, sf_dir):
+    edges = tabular.edges(spark, sf_dir).where("kind = 'implements'")
+    return M.remove_edges(edges, edges.agg(F.min("id").alias("id"))).select("id")
+
+
+@query("""
+, shown AS (SELECT e.*, coalesce(a.name, e.src) || ' --[' || e.kind || ' ' || nature || ']--> ' || coalesce(b.name, e.dst) || '  @ ' || ev_file || ':' || ev_line AS line
+  FROM edges e LEFT JOIN nodes a ON a.id = e.src LEFT JOIN nodes b ON b.id = e.dst)
+SELECT n.id, 'node' AS section, unnest(list_filter([
+  'id: ' || id, 'kind: ' || kind, 'name: ' || name, 'qualified_name: ' || qualified_name, 'file: ' || file, 'line_start: ' || line_start,
+  'route: ' || route, 'method: ' || method, 'scope: ' || scope, 'first_seen_rev: ' || first_seen_rev, 'last_seen_rev: ' || last_seen_rev
+], lambda x: x IS NOT NULL)) AS line FROM nodes n
+UNION ALL SELECT dst, 'incoming', line FROM shown WHERE dst IN (SELECT id FROM nodes)
+UNION ALL SELECT src, 'outgoing', line FROM shown WHERE src IN (SELECT id FROM nodes)
+""")
+def node_details(spark, sf_dir):
+    g = tabular.graph(spark, sf_dir)
+    return render.detail_lines(g.nodes, g.edges)
+
+
+@query("""
+SELECT id, file, file AS ev_file FROM nodes WHERE kind IN ('class', 'client')
+""")
+def relativize(spark, sf_dir):
+    """Suppliers and customers as if scanned below ``/checkout``, and brought back."""
+    g = tabular.graph(spark, sf_dir)
+    below = lambda c: F.concat(F.lit("/checkout/"), c)
+    nodes = g.nodes.where("kind IN ('class', 'client')").withColumn("file", below(F.col("file")))
+    nodes = nodes.withColumn("evidence", F.transform("evidence", lambda e: e.withField("file", below(e["file"]))))
+    moved, _ = canonical.relativize_graph(nodes, g.edges.where("kind = 'implements'"), "/checkout")
+    return moved.select("id", "file", F.get("evidence", F.lit(0))["file"].alias("ev_file"))
+
+
+SOLD_SQL = ", sold AS (SELECT DISTINCT part_id AS id, 'lineitem/' || rev AS file FROM item JOIN p ON l_partkey = p_partkey)"
+
+
+@query(SOLD_SQL + """
+SELECT id FROM sold WHERE file IN ('lineitem/Y1995', 'lineitem/Y1996') GROUP BY id HAVING bool_or(file <> 'lineitem/Y1996')
+""")
+def drop_deleted(spark, sf_dir):
+    """Parts sold in two years, of which the file of the second is deleted."""
+    rows = sold_parts(spark, sf_dir).where(F.col("file").isin("lineitem/Y1995", "lineitem/Y1996")).drop("flag")
+    return I.drop_deleted(M.merge_nodes(rows), spark.createDataFrame([("lineitem/Y1996",)], "file string")).select("id")
+
+
+@query("""
+SELECT id FROM edges WHERE kind = 'calls_endpoint' AND (first_seen_rev <> 'Y1999' OR ev_line % 2 = 0)
+""")
+def reconcile_stale_edges(spark, sf_dir):
+    """Calls of one year's file are looked for again; those on odd lines are not found."""
+    stored = sharded_files(tabular.graph(spark, sf_dir)).edges
+    fresh = stored.where("evidence.file = 'orders/Y1999' AND evidence.line_start % 2 = 0")
+    return I.reconcile_edges(stored, fresh, spark.createDataFrame([("orders/Y1999",)], "file string")).select("id")
+
+
+@query("SELECT DISTINCT file, regexp_replace(qualified_name, '[.]?[^.]*$', '') AS namespace FROM nodes WHERE kind IN ('class', 'interface')")
+def file_namespaces(spark, sf_dir):
+    return R.namespaces_by_file(tabular.nodes(spark, sf_dir))
+
+
+@query("""
+SELECT 'binding_rule:' || r_name || ':scan' AS id, r_name AS scope, count(*) AS pieces FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
+""", graph=False)
+def merge_rules(spark, sf_dir):
+    """A registration in each nation's file; those of a region are one rule."""
+    seen = tabular.places(spark, sf_dir).select(
+        F.col("r_name").alias("assembly"), F.lit("scan").alias("call"), F.col("n_name").alias("file"), F.lit(1).alias("line"), F.col("n_name").alias("ordinal")
+    )
+    nodes = R.binding_rules(seen, F.lit("r1"))
+    merged = M.merge_nodes(nodes.withColumn("ordinal", F.monotonically_increasing_id()))
+    return merged.select("id", "scope", F.size("evidence").cast("long").alias("pieces"))

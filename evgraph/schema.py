@@ -11,8 +11,8 @@ NODE_KINDS = (
     "endpoint", "route", "client", "component", "page", "binding", "binding_rule",
 )
 EDGE_KINDS = (
-    "contains", "imports", "calls", "references", "implements", "inherits", "instantiates", "binds_implementation",
-    "declares_endpoint", "calls_endpoint", "generated_from", "consumed_by", "routes_to",
+    "contains", "imports", "calls", "references", "inherits", "implements", "instantiates", "declares_endpoint",
+    "calls_endpoint", "consumed_by", "routes_to", "binds_implementation", "generated_from",
 )
 ROLES = ("api", "ui", "lib")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.plans.shared import fresh_path
+from evgraph.plans.shared import fresh_path, hadoop_path
 
 
 def latest(changes: DataFrame, key: str, ordinal: str) -> DataFrame:
@@ -18,27 +18,31 @@ def latest(changes: DataFrame, key: str, ordinal: str) -> DataFrame:
 
 def follow(
     spark: SparkSession, log_dir: str, schema: str, prepare: Callable[[DataFrame], DataFrame], key: str, ordinal: str,
-    files_per_batch: int = 1,
+    files_per_batch: int = 1, home: str | None = None,
 ) -> DataFrame:
     """Read what the log holds now as a stream and return the snapshot after it.
 
-    Snapshots are immutable tables in the shared folder; a micro-batch reads one and writes the next, so that
-    a batch that is run again after a failure writes the same table.
+    ``home`` is a folder for snapshots and checkpoint: a later call with the same one goes on where the last one ended, also after
+    a failure; without one they live as long as the session. Snapshots are immutable tables; a micro-batch
+    reads that of the batch before and writes its own, so that a batch that is run again writes the same table.
     """
-    home = fresh_path(spark, "stream")
-    state: dict[str, str | None] = {"path": None}
+    home = home or fresh_path(spark, "stream")
+
+    def last_snapshot(before: int | None = None) -> str | None:
+        folder, fs = hadoop_path(spark, home)
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        numbers = [int(n.removeprefix("snapshot-")) for n in names if n.startswith("snapshot-")]
+        numbers = [n for n in numbers if before is None or n < before]
+        return f"{home}/snapshot-{max(numbers)}" if numbers else None
 
     def merge(batch: DataFrame, number: int) -> None:
-        fresh = prepare(batch)
-        if state["path"]:
-            fresh = spark.read.parquet(state["path"]).unionByName(fresh)
-        path = f"{home}/snapshot-{number}"
-        latest(fresh, key, ordinal).write.mode("overwrite").parquet(path)
-        state["path"] = path
+        fresh, stored = prepare(batch), last_snapshot(number)
+        if stored:
+            fresh = spark.read.parquet(stored).unionByName(fresh)
+        latest(fresh, key, ordinal).write.mode("overwrite").parquet(f"{home}/snapshot-{number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log_dir)
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    if state["path"] is None:
-        return prepare(spark.createDataFrame([], schema))
-    return spark.read.parquet(state["path"])
+    stored = last_snapshot()
+    return spark.read.parquet(stored) if stored else prepare(spark.createDataFrame([], schema))
