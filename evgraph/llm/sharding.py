@@ -40,8 +40,9 @@ def fisher_yates(items: Column, *key: Column, seed: int = 0) -> Column:
         return F.when(other == place, a).otherwise(swapped)
 
     # places move, not records
-    places = F.sequence(F.lit(0), F.size(items) - 1)
-    steps = F.when(F.size(items) > 1, F.sequence(F.size(items) - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    places = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1)).otherwise(none)
+    steps = F.when(F.size(items) > 1, F.sequence(F.size(items) - 1, F.lit(1), F.lit(-1))).otherwise(none)
     return F.transform(F.aggregate(steps, places, swap), lambda at: F.get(items, at))
 
 
