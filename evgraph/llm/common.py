@@ -104,7 +104,8 @@ def number_copies(rows: DataFrame, seed: int = 0) -> DataFrame:
     blocks = once.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPY_BLOCK).cast("long"))).alias("at"))
     last = F.least(F.col("at") + COPY_BLOCK, F.col("n")) - 1
     made = blocks.repartition("h1", "at").select("row", F.col("h1"), F.explode(F.sequence("at", last)).alias("number"))
-    made = made.select("row", F.xxhash64(F.lit(seed), "h1", "number").alias("draw"))
+    # a table of their own, since fields of a struct that are taken above two explodes make an invalid plan in Spark 4.1
+    made = materialize(made.select("row", F.xxhash64(F.lit(seed), "h1", "number").alias("draw")), "numbered-copies")
     rest = hashed.join(again, key, "left_anti").select("row", F.col("h1").alias("draw"))
     return rest.unionByName(made)
 
