@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import evgraph.source_queries  # noqa: F401, registers its queries
 from evgraph.queries import ORACLE_SQL, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
