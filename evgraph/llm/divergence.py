@@ -53,42 +53,46 @@ def pieces_of(text: bytes) -> Iterator[bytes]:
         at = to
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (lang, source, text) => counts of terms for each stretch of documents, named by its first one."""
-    partition, document, first, held = TaskContext.get().partitionId(), 0, 0, 0
-    groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (docs, counts) in groups.items():
-            size = len(docs)
-            terms = pa.array(list(docs), pa.binary())
-            same = [pa.repeat(pa.scalar(v), size) for v in (lang, source)]
-            numbers = [pa.repeat(pa.scalar((partition << 40) + first), size), pa.array(list(docs.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [same[0], terms, same[1], *numbers, pa.array([counts[t] for t in docs], pa.int64())],
-                ["lang", "term", "source", "document", "docs", "n"],
-            )
-        groups.clear()
+def _count_terms(most: int) -> Callable:
+    """Batches of (lang, source, text) => counts of terms for each stretch of documents, named by its first one; ``most`` terms are held."""
 
-    for batch in batches:
-        texts = batch["text"].cast(pa.binary())
-        for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), texts):
-            group = groups.get((lang, source))
-            if group is None:
-                group = groups[lang, source] = (Counter(), Counter())
-            docs, counts = group
-            before, seen = len(docs), set()
-            for piece in pieces_of(text.as_py()):
-                terms = piece.split()
-                counts.update(terms)
-                seen.update(terms)
-            docs.update(seen)
-            document += 1
-            held += len(docs) - before
-            if held >= HELD_TERMS:
-                yield from flush()
-                held, first = 0, document
-    yield from flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, document, first, held = TaskContext.get().partitionId(), 0, 0, 0
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (docs, counts) in groups.items():
+                size = len(docs)
+                terms = pa.array(list(docs), pa.binary())
+                same = [pa.repeat(pa.scalar(v), size) for v in (lang, source)]
+                numbers = [pa.repeat(pa.scalar((partition << 40) + first), size), pa.array(list(docs.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(
+                    [same[0], terms, same[1], *numbers, pa.array([counts[t] for t in docs], pa.int64())],
+                    ["lang", "term", "source", "document", "docs", "n"],
+                )
+            groups.clear()
+
+        for batch in batches:
+            texts = batch["text"].cast(pa.binary())
+            for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), texts):
+                group = groups.get((lang, source))
+                if group is None:
+                    group = groups[lang, source] = (Counter(), Counter())
+                docs, counts = group
+                before, seen = len(docs), set()
+                for piece in pieces_of(text.as_py()):
+                    terms = piece.split()
+                    counts.update(terms)
+                    seen.update(terms)
+                docs.update(seen)
+                document += 1
+                held += len(docs) - before
+                if held >= most:
+                    yield from flush()
+                    held, first = 0, document
+        yield from flush()
+
+    return run
 
 
 def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +153,7 @@ def _unit_pairs(terms_at_once: int = 256) -> Callable:
             sums, terms = np.zeros((len(left), len(right)), np.int64), 0
             place = {name: i for i, name in enumerate(names)}
             table = pa.Table.from_batches(body) if body else None
-            if table is not None and left and right:
+            if table is not None and len(table) and left and right:
                 column = table["term"].combine_chunks()
                 starts = np.r_[True, pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)]
                 run_of, who = np.cumsum(starts) - 1, np.array([place[s] for s in table["source"].to_pylist()])
@@ -198,7 +202,7 @@ UNIT = ["lang", "left_block", "right_block", "term_part"]
 def term_counts(docs: DataFrame) -> DataFrame:
     """``docs(lang, source, text)`` => lang, term, source, ``docs`` and ``n``: its documents and occurrences there."""
     schema = "lang string, term binary, source string, document long, docs long, n long"
-    counted = docs.select("lang", "source", "text").mapInArrow(_count_terms, schema)
+    counted = docs.select("lang", "source", "text").mapInArrow(_count_terms(HELD_TERMS), schema)
     counted = materialize(counted.withColumn("term", F.col("term").cast("string")), "term-counts")
     order = ["lang", "term", "source", "document"]
     ranged = counted.repartitionByRange(*order).sortWithinPartitions(*order)

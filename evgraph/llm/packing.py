@@ -7,16 +7,14 @@ into the first bin with room, found in a tournament tree of the bins' free space
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evgraph.llm.byte_bpe import byte_bpe_encoder
 from evgraph.llm.common import deal, number_copies, read_table
 
 SEQUENCE_TOKENS = 1024
@@ -25,35 +23,6 @@ END_ID = 0
 GROUP_BYTES = 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
-#: Texts with white space beyond ASCII or a special token's string go to the reference library.
-_UNUSUAL = regex.compile(r"[^\S\x09-\x0D\x20]|[\x1c-\x1f]|<\|endoftext\|>")
-#: Runs of one character class that the faster library would search at length.
-_LONG_RUN = regex.compile(r"\s{1000}")
-
-
-@lru_cache(maxsize=1)
-def byte_bpe_encoder(json_name: str = "byte_bpe_50k.json", ranks_name: str = "byte_bpe_50k.tiktoken") -> Callable[[str], np.ndarray]:
-    """Text => ids (uint32), as the ``tokenizers`` library has them for ``json_name``.
-
-    The vocabulary's ranks give the same ids at several times the speed, so ordinary texts
-    go that way; tests compare the two.
-    """
-    import public_tokenizers
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    with open(public_tokenizers.path(ranks_name), "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(public_tokenizers.path(json_name))
-
-    def encode(text: str) -> np.ndarray:
-        if _UNUSUAL.search(text) or _LONG_RUN.search(text):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
-
-    return encode
-
 
 class FreeSpace:
     """Tournament tree over bins: each node holds the most free space below it."""

@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evgraph.llm.byte_bpe import ByteBpe
 from evgraph.llm.common import fresh_path, read_table, row_hash
-from evgraph.llm.packing import byte_bpe_encoder
 
 END_ID = 2
 #: Bytes of a stripe before it is written; rows of a row group; rate of false hits of a Bloom filter.
@@ -32,25 +32,26 @@ def _encode(make_encoder: Callable, end_id: int) -> Callable:
     """Sorted (doc_id, text) => SCHEMA; ``before`` counts the ids of the documents before it in the task, whose number is the file's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number, before = make_encoder(), TaskContext.get().partitionId(), 0
+        encoder, number, before = make_encoder(), TaskContext.get().partitionId(), 0
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
-            docs, texts = batch.column(0), batch.column(1)
-            start, held = 0, []
-            for i in range(batch.num_rows):
-                held.append(np.append(encode(texts[i].as_py() or ""), np.uint32(end_id)))
-                if i + 1 == batch.num_rows or sum(map(len, held)) >= HELD_IDS:
-                    sizes = np.array([len(x) for x in held], np.int64)
+            docs, start, held, n = batch.column(0), 0, [], 0
+            for i, ids in enumerate(encoder.batch(batch.column(1))):
+                held += [ids, end]
+                n += len(ids)
+                if i + 1 == batch.num_rows or n >= HELD_IDS:
+                    sizes = np.array([len(x) + 1 for x in held[::2]], np.int64)
                     ends = before + np.cumsum(sizes)
-                    lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), np.concatenate(held).astype(np.int32))
-                    columns = [docs.slice(start, len(held)), np.full(len(held), number, np.int32), ends - sizes, sizes, lists]
+                    lists = pa.ListArray.from_arrays((np.r_[before, ends] - before).astype(np.int32), np.concatenate(held).astype(np.int32))
+                    columns = [docs.slice(start, len(sizes)), np.full(len(sizes), number, np.int32), ends - sizes, sizes, lists]
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
-                    start, held, before = i + 1, [], int(ends[-1])
+                    start, held, n, before = i + 1, [], 0, int(ends[-1])
 
+    end = np.array([end_id], np.uint32)
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, make_encoder: Callable = byte_bpe_encoder, end_id: int = END_ID, stripe_bytes: int = STRIPE_BYTES) -> None:
+def write_tokens(docs: DataFrame, path: str, make_encoder: Callable = ByteBpe, end_id: int = END_ID, stripe_bytes: int = STRIPE_BYTES) -> None:
     """ORC files at ``path`` with the ids of each document's whole text and ``end_id``, in ascending order of doc_id, null last.
 
     A null text counts as empty and has the end id only. Documents that share an id follow each other in the order of a hash of their
@@ -64,7 +65,7 @@ def write_tokens(docs: DataFrame, path: str, make_encoder: Callable = byte_bpe_e
     encoded = sorted_docs.mapInArrow(_encode(make_encoder, end_id), SCHEMA)
     options = {
         "compression": "zstd", "orc.stripe.size": stripe_bytes, "orc.create.index": True, "orc.row.index.stride": GROUP_ROWS,
-        "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": FALSE_HITS,
+        "orc.rows.between.memory.checks": GROUP_ROWS, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": FALSE_HITS,
     }
     encoded.write.options(**options).orc(path)
 
