@@ -25,7 +25,7 @@ from evgraph.llm.common import materialize, read_table
 #: Lower-cases A-Z and turns all that is in no term into blanks; bytes of other characters pass.
 TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)).lower()
 #: A task's counts are sent on when they hold so many terms; a text is read in pieces of so many bytes.
-HELD_TERMS, PIECE = 400_000, 1 << 22
+HELD_TERMS, PIECE = 800_000, 1 << 22
 #: Sources of a block, on average, and rows of a unit. A run of a term in a unit has two blocks' sources at most.
 SOURCE_BLOCK, UNIT_ROWS = 256, 1 << 17
 #: Probabilities are in parts of this.
@@ -95,32 +95,48 @@ def _count_terms(most: int) -> Callable:
     return run
 
 
-def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (lang, term, source, docs, n) => one row for each run of the first three, as they end."""
+def _scan_runs(min_docs: int) -> Callable:
+    """Sorted (lang, term, source, docs, n) => one row for each run of the first three, as they end.
+
+    Terms in fewer than ``min_docs`` documents of a language are left out, but for the first and the last term of a partition, which others may
+    hold too.
+    """
     key = ["lang", "term", "source"]
-    held = None  # the last run of the batches so far
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        differs = np.zeros(batch.num_rows - 1, bool)
-        for name in key:
-            column = batch[name]
-            differs |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
-        starts = np.r_[0, np.flatnonzero(differs) + 1]
-        sums = [np.add.reduceat(batch[c].to_numpy(), starts) for c in ("docs", "n")]
-        runs = pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(starts)) for c in key), *map(pa.array, sums)], [*key, "docs", "n"])
+
+    def runs_of(table: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+        """Where runs of equal ``columns`` start."""
+        differs = np.zeros(table.num_rows - 1, bool)
+        for name in columns:
+            column = table[name]
+            differs |= pc.not_equal(column.slice(1), column.slice(0, table.num_rows - 1)).to_numpy(zero_copy_only=False)
+        return np.r_[0, np.flatnonzero(differs) + 1]
+
+    def summed(table: pa.RecordBatch) -> pa.RecordBatch:
+        starts = runs_of(table, key)
+        sums = [pa.array(np.add.reduceat(table[c].to_numpy(), starts)) for c in ("docs", "n")]
+        return pa.RecordBatch.from_arrays([*(table[c].take(pa.array(starts)) for c in key), *sums], [*key, "docs", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at_border = None, True  # the runs of the last term so far
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = summed(batch)
+            if held is not None:
+                runs = summed(pa.concat_batches([held, runs]))
+            terms = runs_of(runs, key[:2])
+            held = runs.slice(terms[-1])
+            if len(terms) > 1:
+                ended = runs.slice(0, terms[-1])
+                kept = np.add.reduceat(ended["docs"].to_numpy(), terms[:-1]) >= min_docs
+                kept[0] |= at_border
+                at_border = False
+                yield ended.filter(pa.array(np.repeat(kept, np.diff(terms))))
         if held is not None:
-            if all(held[c][0] == runs[c][0] for c in key):
-                added = [pa.array([s[0] + held[c][0].as_py(), *s[1:]]) for s, c in zip(sums, ("docs", "n"))]
-                runs = pa.RecordBatch.from_arrays([*(runs[c] for c in key), *added], runs.schema.names)
-            else:
-                yield held
-        if runs.num_rows > 1:
-            yield runs.slice(0, runs.num_rows - 1)
-        held = runs.slice(runs.num_rows - 1)
-    if held is not None:
-        yield held
+            yield held
+
+    return run
 
 
 def share(count: np.ndarray, total: np.ndarray | int) -> np.ndarray:
@@ -199,14 +215,17 @@ def _unit_pairs(terms_at_once: int = 256) -> Callable:
 UNIT = ["lang", "left_block", "right_block", "term_part"]
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """``docs(lang, source, text)`` => lang, term, source, ``docs`` and ``n``: its documents and occurrences there."""
+def term_counts(docs: DataFrame, min_docs: int) -> DataFrame:
+    """``docs(lang, source, text)`` => lang, term, source, ``docs`` and ``n``: its documents and occurrences there.
+
+    All terms in ``min_docs`` or more documents of a language are there, and few others.
+    """
     schema = "lang string, term binary, source string, document long, docs long, n long"
     counted = docs.select("lang", "source", "text").mapInArrow(_count_terms(HELD_TERMS), schema)
     counted = materialize(counted.withColumn("term", F.col("term").cast("string")), "term-counts")
     order = ["lang", "term", "source", "document"]
     ranged = counted.repartitionByRange(*order).sortWithinPartitions(*order)
-    runs = ranged.select("lang", "term", "source", "docs", "n").mapInArrow(_scan_runs, "lang string, term string, source string, docs long, n long")
+    runs = ranged.select("lang", "term", "source", "docs", "n").mapInArrow(_scan_runs(min_docs), "lang string, term string, source string, docs long, n long")
     return runs.groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
@@ -217,7 +236,7 @@ def divergences(docs: DataFrame, audit: Audit = Audit()) -> DataFrame:
     of its language (none if it is alone), with value 0 where the language keeps no term. An empty table gives no rows.
     """
     docs = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counts = materialize(term_counts(docs), "term-runs")
+    counts = materialize(term_counts(docs, audit.min_docs), "term-runs")
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= audit.min_docs)
     kept = materialize(counts.drop("docs").join(kept.drop("docs"), ["lang", "term"]), "kept-terms")
     langs = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n"), F.count(F.lit(1)).alias("rows"))
