@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.llm.byte_bpe import byte_bpe_encoder
+from evgraph.llm.byte_bpe import ByteBpe
 from evgraph.llm.common import deal, number_copies, read_table
 
 SEQUENCE_TOKENS = 1024
@@ -58,7 +58,7 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
 
 def _pack_groups(capacity: int, make_encoder: Callable) -> Callable:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = make_encoder()
+        encoder = make_encoder()
         group, used, rests, out, held = None, 0, [], [], 0
 
         def close_group() -> None:
@@ -80,12 +80,12 @@ def _pack_groups(capacity: int, make_encoder: Callable) -> Callable:
             return batch
 
         for batch in batches:
-            for number, doc_id, text in zip(*(batch.column(i) for i in range(3))):
+            for number, doc_id, ids in zip(batch.column(0), batch.column(1), encoder.batch(batch.column(2))):
                 if number.as_py() != group:
                     if group is not None:
                         close_group()
                     group = number.as_py()
-                ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4", copy=False)
+                ids = np.append(ids, np.uint32(END_ID)).astype("<u4", copy=False)
                 doc, total, whole = doc_id.as_py(), len(ids), len(ids) // capacity * capacity
                 for start in range(0, whole, capacity):
                     out.append((doc, start, capacity, ids[start : start + capacity].tobytes(), total, (group << 32) + used, 0))
@@ -104,7 +104,7 @@ def _pack_groups(capacity: int, make_encoder: Callable) -> Callable:
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = SEQUENCE_TOKENS,
-    group_bytes: int = GROUP_BYTES, seed: int = 11, make_encoder: Callable = byte_bpe_encoder,
+    group_bytes: int = GROUP_BYTES, seed: int = 11, make_encoder: Callable = ByteBpe,
 ) -> DataFrame:
     """One row per piece: ``SCHEMA``, where ``ids`` are little-endian unsigned 32-bit ids.
 

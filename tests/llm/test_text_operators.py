@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from evgraph.llm import components, exact_dedup, language_id, line_dedup, mixing, packing, sharding, simhash
+from evgraph.llm import byte_bpe, components, exact_dedup, language_id, line_dedup, mixing, packing, sharding, simhash
 from evgraph.llm.common import TASK_BYTES, deal, fresh_path, in_order, number_copies
 from tests.llm.conftest import sentence
 
@@ -453,7 +453,7 @@ def reference_ids(text):
 
 
 def test_ids_are_those_of_the_tokenizer(doc_rows):
-    encode = packing.byte_bpe_encoder()
+    encode = byte_bpe.byte_bpe_encoder()
     odd = ["a  b", " a", "\t\tx\n\n  y ", "don't we'll I'M", "1234567 12.5%", "\x00\x01\x1c\x85z", "​ 　", "ﬁ é é", "<|endoftext|>", "𝔘𝔫𝔦"]
     for text in {r[1] for r in doc_rows if r[1] is not None} | set(odd):
         assert encode(text).tolist() == reference_ids(text), text[:40]
