@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Texts of so many bytes are encoded at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 SPECIAL = b"<|endoftext|>"
 LETTER, NUMBER, SPACE, OTHER, ODD = range(5)
 JSON_NAME, RANKS_NAME = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"

@@ -10,8 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evgraph.llm import divergence, hard_negatives, token_files
-from evgraph.llm.byte_bpe import ByteBpe
-from evgraph.llm.packing import byte_bpe_encoder
+from evgraph.llm.byte_bpe import ByteBpe, byte_bpe_encoder
 from evgraph.llm.queries import ORACLE_SQL, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
