@@ -1,6 +1,6 @@
 """How far the sources of a language differ in their words: a sort-based, streaming audit.
 
-Tasks count the terms of stretches of documents. These counts are dealt by range of (lang, term, source, document) and sorted so in
+Tasks count the terms of stretches of documents. These counts are dealt by range of (term, lang, source, document) and sorted so in
 each partition; a scan over the runs gives document frequency and count of a term in a source. As the range ends inside a run, no term is too
 frequent for a task; runs that a border cuts are added up afterwards. A second sort, by term within units of two blocks of sources and a
 share of the terms, is scanned in the same way: each run of a term adds to the partial sums of all pairs of the two blocks, and the
@@ -96,12 +96,12 @@ def _count_terms(most: int) -> Callable:
 
 
 def _scan_runs(min_docs: int) -> Callable:
-    """Sorted (lang, term, source, docs, n) => one row for each run of the first three, as they end.
+    """Sorted (term, lang, source, docs, n) => one row for each run of the first three, as they end.
 
     Terms in fewer than ``min_docs`` documents of a language are left out, but for the first and the last term of a partition, which others may
     hold too.
     """
-    key = ["lang", "term", "source"]
+    key = ["term", "lang", "source"]
 
     def runs_of(table: pa.RecordBatch, columns: list[str]) -> np.ndarray:
         """Where runs of equal ``columns`` start."""
@@ -223,9 +223,9 @@ def term_counts(docs: DataFrame, min_docs: int) -> DataFrame:
     schema = "lang string, term binary, source string, document long, docs long, n long"
     counted = docs.select("lang", "source", "text").mapInArrow(_count_terms(HELD_TERMS), schema)
     counted = materialize(counted.withColumn("term", F.col("term").cast("string")), "term-counts")
-    order = ["lang", "term", "source", "document"]
+    order = ["term", "lang", "source", "document"]  # terms first, since their first letters settle most comparisons
     ranged = counted.repartitionByRange(*order).sortWithinPartitions(*order)
-    runs = ranged.select("lang", "term", "source", "docs", "n").mapInArrow(_scan_runs(min_docs), "lang string, term string, source string, docs long, n long")
+    runs = ranged.select("term", "lang", "source", "docs", "n").mapInArrow(_scan_runs(min_docs), "term string, lang string, source string, docs long, n long")
     return runs.groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
