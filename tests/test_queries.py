@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-import evgraph.source_queries  # noqa: F401, registers its queries
+import evgraph.change_queries  # noqa: F401, registers its queries
+import evgraph.source_queries  # noqa: F401, likewise
 from evgraph.queries import ORACLE_SQL, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
