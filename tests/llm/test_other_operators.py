@@ -435,7 +435,7 @@ def test_pipeline_keeps_clean_documents(spark, pipeline):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     ours, theirs = QUERIES[name](spark, SF_DIR).toPandas(), con.sql(ORACLE_SQL[name]).df()
     columns = sorted(theirs.columns)
