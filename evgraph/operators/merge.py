@@ -71,11 +71,11 @@ def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def record_revision(revisions: DataFrame, sha: str | None, parent: str | None = None, at: str | None = None, summary: str | None = None) -> DataFrame:
-    """History with a revision entered; one known before keeps its place, a blank one changes nothing."""
+    """History with a revision entered; one known before keeps its place, a blank one changes nothing. Empty fields are absent ones."""
     if not sha or not sha.strip():
         return revisions
     spark = revisions.sparkSession
-    new = spark.createDataFrame([(sha.strip(), parent, at, summary)], "sha string, parent string, at string, summary string")
+    new = spark.createDataFrame([(sha.strip(), parent or None, at or None, summary or None)], "sha string, parent string, at string, summary string")
     last = revisions.agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("last"))
     known = revisions.where(F.col("sha") == sha.strip()).agg(F.min("ordinal").alias("known"))
     # both sides are one row

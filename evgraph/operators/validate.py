@@ -77,6 +77,19 @@ def validate_edges(edges: DataFrame) -> DataFrame:
     return _rows(edges, "edge", faults)
 
 
+def validate_revisions(revisions: DataFrame) -> DataFrame:
+    """All violations of revisions: ``part``, ``id`` (the sha), ``violation``. Absent fields are fine but for the sha, blank ones are not."""
+    faults = _required("revision", {"sha": "sha"})
+    faults += [F.when(F.trim(c) == "", F.lit(f"revision.{c} must be a non-empty string")) for c in ("parent", "at", "summary")]
+    return _rows(revisions.withColumn("id", F.col("sha")), "revision", faults)
+
+
+def assert_valid_revisions(revisions: DataFrame) -> None:
+    """Raises with one violation, if there is any."""
+    for row in validate_revisions(revisions).limit(1).collect():
+        raise ValueError(f"revision {row['id'] or '<anonymous>'}: {row['violation']}")
+
+
 def duplicate_ids(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

@@ -101,3 +101,14 @@ def test_a_diff_knows_equal_edited_changed_and_new_files(spark):
 def test_reasons_of_an_update():
     assert incremental.invalidation_reason(0, 0, 0) == "nothing to apply"
     assert incremental.invalidation_reason(2, 5, 1) == "2 file(s) changed; 5 file(s) in the region; 1 rule scope(s) invalidated"
+
+
+def test_revisions_are_validated_and_empty_fields_are_absent(spark):
+    from evgraph.operators import merge, validate
+
+    good = spark.createDataFrame([("a", None, None, None, 1)], "sha string, parent string, at string, summary string, ordinal long")
+    validate.assert_valid_revisions(good)
+    with pytest.raises(ValueError, match="<anonymous>: revision.sha is required"):
+        validate.assert_valid_revisions(good.selectExpr("'' AS sha", "parent", "at", "summary"))
+    found = merge.record_revision(good, "b", "", "", "text").where("sha = 'b'").first()
+    assert (found["parent"], found["at"], found["summary"], found["ordinal"]) == (None, None, "text", 2)
