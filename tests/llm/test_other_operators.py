@@ -86,6 +86,42 @@ def test_words_never_take_the_article_or_a_paragraph(source, text):
     assert html_extract.main_texts([source]) == [text]
 
 
+WORDS = (
+    "social legal notice notices search copyright share sharing related recommended menu menubar nav navbar navigation breadcrumb breadcrumbs "
+    "topbar header masthead footer foot cookie cookies consent alert popup modal overlay newsletter subscribe subscription signup login "
+    "reply pagination pager toolbar widget widgets sidebar disclaimer complementary contentinfo"
+).split()
+
+
+@pytest.mark.parametrize("part", ["article", "main"])
+def test_words_of_classes_take_no_text_inside_a_marked_part(part):
+    boxes = "".join(f'<{tag} class="{w}-box">{w} of {{0}}</{tag}>' for w, tag in zip(WORDS, ["div", "section", "table", "ul"] * 20))
+    page = f'<body><p>menu</p><{part}><h1>{{0}}</h1><h2>Summary</h2>{boxes}<div class="comments">no {{0}}</div><h2>References</h2>{{0}}</{part}></body>'
+    names = ["ant", "bee", "cat", "dog", "eel", "fox"]
+    want = [f"{n} Summary {' '.join(f'{w} of {n}' for w in WORDS)} References {n}" for n in names]
+    assert len(WORDS) > 40 and html_extract.main_texts([page.format(n) for n in names]) == want
+
+
+def test_furniture_inside_an_article_goes_if_it_is_constant_or_links():
+    page = (
+        '<article><h1>{0}</h1><div class="cookie-notice">We use cookies.</div><p>{0} text</p><ul class="related"><li><a href="/{0}">more {0}</a></ul>'
+        '<div class="ad">buy {0}</div><section class="legal">Law of {0}</section></article>'
+    )
+    names = ["ant", "bee", "cat", "dog", "eel"]
+    assert html_extract.main_texts([page.format(n) for n in names]) == [f"{n} {n} text Law of {n}" for n in names]
+
+
+def test_template_among_thousands_of_children_is_found():
+    # each tenth paragraph is the site's; pages have different numbers of their own ones between, so that places shift
+    def page(i):
+        own = [[f"w{i}x{k * (i + 3)} and {k}y{i}" for k in range(7 + (i * n) % 5)] for n in range(500)]
+        rows = [x for n, group in enumerate(own) for x in [f"Site note {n}", *group]]
+        return "<body>" + "".join(f"<p>{x}</p>" for x in rows) + "</body>", " ".join(x for group in own for x in group)
+
+    made = [page(i) for i in range(6)]
+    assert html_extract.main_texts([source for source, _ in made]) == [text for _, text in made]
+
+
 def test_deep_and_long_pages_take_seconds():
     began = time.perf_counter()
     assert html_extract.main_texts(["<div>" * 5000 + "deep" + "</div>" * 5000]) == ["deep"]
