@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import evgraph.change_queries  # noqa: F401, registers its queries
+import evgraph.path_queries  # noqa: F401, likewise
 import evgraph.source_queries  # noqa: F401, likewise
 from evgraph.queries import ORACLE_SQL, QUERIES
 
