@@ -665,17 +665,6 @@ def graph_hash(spark, sf_dir):
     return canonical.graph_hash(g.nodes, g.edges)
 
 
-@query(CANONICAL_SQL + """
-SELECT json, sha256(json) AS hash FROM (SELECT
-  '{"edges":[' || (SELECT string_agg(json, ',' ORDER BY json) FROM texts WHERE part = 'edge' AND id LIKE 'project:%') ||
-  '],"nodes":[' || (SELECT string_agg(json, ',' ORDER BY json) FROM texts WHERE part = 'node' AND (id LIKE 'project:%' OR id LIKE 'module:%')) || ']}' AS json)
-""")
-def canonical_document(spark, sf_dir):
-    """Regions and nations as one canonical text."""
-    g = tabular.graph(spark, sf_dir)
-    return canonical.graph_document(g.nodes.where("kind IN ('project', 'module')"), g.edges.where(F.startswith("src", F.lit("project:"))))
-
-
 @query("""
 , bad AS (SELECT order_id || '->' || part_id || ':references@lineitem:' || line AS id, l_linenumber, l_returnflag FROM item JOIN o ON l_orderkey = o_orderkey JOIN p ON l_partkey = p_partkey)
 SELECT id, 'edge.evidence.lineStart must be a positive integer' AS violation FROM bad WHERE l_linenumber < 3
