@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.functions.columns import edge_record
+from evgraph.operators.skew import split_join
 
 
 def find(rows: DataFrame, **equals: str | None) -> DataFrame:
@@ -52,8 +53,9 @@ def derived_containment(nodes: DataFrame) -> DataFrame:
     first = F.filter(F.coalesce("evidence", F.array()), lambda e: e["file"].isNotNull() & (e["line_start"] > 0))
     placed = nodes.where("kind <> 'repository'").withColumn("e", F.get(first, F.lit(0))).where("e IS NOT NULL")
     placed = placed.withColumn("to", F.concat(F.lit("file:"), F.col("e.file"))).where("id <> to")
-    files = nodes.where("kind = 'file'").select(F.col("id").alias("_file"))
-    return placed.join(files, F.col("to") == F.col("_file"), "left_semi").select(
+    files = nodes.where("kind = 'file'").select(F.col("id").alias("to"))
+    # a file may hold most of all nodes
+    return split_join(placed, files, "to", ["id"], "left_semi").select(
         *edge_record(
             id=F.concat("id", F.lit("->"), "to", F.lit(":contains")), src=F.col("id"), dst=F.col("to"),
             kind=F.lit("contains"), nature=F.lit("INFERRED"), extractor=F.lit("query"), extractor_version=F.lit("0.1.0"),

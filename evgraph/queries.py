@@ -267,7 +267,7 @@ WANTED_SQL = INDEX_SQL + """, refs AS (
 @query(WANTED_SQL + "SELECT l_suppkey, wanted, id AS target FROM refs JOIN idx ON wanted = name WHERE ids = 1")
 def resolve_unique(spark, sf_dir):
     index = R.type_index(G.find(tabular.nodes(spark, sf_dir), kind="interface"))
-    return R.resolve_unique(named_references(spark, sf_dir), index, "wanted")
+    return R.resolve_unique(named_references(spark, sf_dir), index, "wanted", spread=["l_suppkey"])
 
 
 @query(WANTED_SQL + "SELECT l_suppkey, wanted, coalesce(ids, 0) AS ids FROM refs LEFT JOIN idx ON wanted = name WHERE ids IS NULL OR ids <> 1")
