@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evgraph.functions.canonical import edge_json, node_json
 from evgraph.plans.shared import materialize
+from evgraph.plans.stored import numbered
 
 #: Pieces of a part, and children of a node of the tree over the parts.
 PIECES, FAN = 1024, 1024
@@ -25,23 +26,9 @@ def _pieces(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.unionByName(nodes.select(F.lit(3).alias("section"), node_json().alias("json")))
 
 
-def _numbered(pieces: DataFrame) -> DataFrame:
-    """The pieces with ``place``, gapless from 0 in the order of section and text."""
-    ordered = pieces.repartitionByRange("section", "json").sortWithinPartitions("section", "json")
-    # the number of a row's partition and of the row in it
-    ordered = materialize(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered-pieces")
-    partition = F.shiftright("_at", 33)
-    sizes = materialize(ordered.groupBy(partition.alias("_partition")).agg(F.count(F.lit(1)).alias("rows")), "pieces-of-partitions")
-    # one row a partition
-    before = F.sum("rows").over(Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_partition", F.coalesce(before, F.lit(0)).alias("_before"))
-    placed = ordered.withColumn("_partition", partition).join(F.broadcast(starts), "_partition")
-    return placed.select("section", "json", (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("place"))
-
-
 def document_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``part`` (from 0), ``text``, ``bytes`` (UTF-8) and ``sha256``: the texts one after the other are the graph's canonical JSON."""
-    placed = _numbered(_pieces(nodes, edges))
+    placed = numbered(_pieces(nodes, edges), ["section", "json"], "ordered-pieces", "place")
     firsts = placed.groupBy("section").agg(F.min("place").alias("first"))  # five rows
     comma = F.col("section").isin(1, 3) & (F.col("place") > F.col("first"))
     text = F.when(comma, F.concat(F.lit(","), "json")).otherwise(F.col("json"))

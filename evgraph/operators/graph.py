@@ -17,9 +17,8 @@ def find(rows: DataFrame, **equals: str | None) -> DataFrame:
     return rows
 
 
-def score(query: str) -> Column:
-    """How well a node matches, from 1000 for its exact name to 300 for a part of its file, else 0."""
-    q = F.lit(query.strip().lower())
+def ladder(q: Column) -> Column:
+    """How well a node matches a folded text, from 1000 for its exact name to 300 for a part of its file, else 0."""
     low = {c: F.lower(F.coalesce(c, F.lit(""))) for c in ("name", "qualified_name", "route", "file")}
     return (
         F.when(low["name"] == q, 1000).when(low["qualified_name"] == q, 950).when(low["route"] == q, 900)
@@ -29,6 +28,11 @@ def score(query: str) -> Column:
     )
 
 
+def score(query: str) -> Column:
+    """``ladder`` of a query's text."""
+    return ladder(F.lit(query.strip().lower()))
+
+
 def search(nodes: DataFrame, query: str, limit: int = 25, kind: str | None = None) -> DataFrame:
     """The best ``limit`` nodes by score, then by id in Unicode order; a blank query finds nothing."""
     if not query.strip():
