@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-The wrapper of a host is learned from a bounded sample of its pages: simple tree matching pairs the nodes of
-each page's tree with those of a reference page. A node that holds the same text on most pages is
-template; a slot's text varies. The region in which most of the varying text lies is where the content is,
+The wrapper of a host is learned from all its pages: simple tree matching pairs the nodes of each page's
+tree with those of a reference page. Groups of pages are counted each by itself, and the counts of a host's groups
+are added up. A node that holds the same text on most pages is template; a slot's text varies. The region in which most of the varying text lies is where the content is,
 unless a page marks its article. Every page of the host is then aligned with the reference, and gives the text of
 its nodes that lie in the region and are not template. Element types that never hold content (navigation,
 forms, scripts) are left out at once; words in class, id and role count only for boxes that hold no article.
@@ -14,21 +14,20 @@ import html
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evgraph.llm.common import HOT_SHARE, materialize, read_table, row_hash
 
-#: Different pages that a host's wrapper is learned from, those with the smallest seeded hashes.
-SAMPLE_PAGES = 24
-#: Different pages that one task reads together, at least if a host has more than one group.
-GROUP_PAGES = 512
+#: Different pages of a group, at least if a host has more than one; fewer, but LEAST_PAGES, if they have more characters.
+GROUP_PAGES, GROUP_CHARS, LEAST_PAGES = 512, 16 << 20, 24
 GROUP_SEED = 11
+#: Surveys of groups that one task joins.
+JOINED = 64
 #: Copies of a page that are given out at once; pages with more may be common ones.
 COPIES = 64
 #: A node is template if its text is the same on so many pages and on such a share of them.
@@ -115,7 +114,7 @@ class Node:
     """Whether more than half of its text is in links."""
 
     def children(self) -> list[Node]:
-        return [x for x in self.parts if not isinstance(x, str)]
+        return [x for x in self.parts if type(x) is not str]
 
 
 _shapes: dict = {}
@@ -126,19 +125,26 @@ def preorder(root: Node) -> list[Node]:
     while stack:
         node = stack.pop()
         out.append(node)
-        stack.extend(reversed(node.children()))
+        if node.parts:
+            stack.extend([x for x in reversed(node.parts) if type(x) is not str])
     return out
 
 
 def measured(root: Node) -> Node:
     """The tree with ``size``, ``shape``, ``digest`` and ``holds`` set anew."""
     for node in reversed(preorder(root)):
-        kids = node.children()
-        node.size = 1 + sum(k.size for k in kids)
-        node.shape = _shapes.setdefault((node.tag, *(k.shape for k in kids)), len(_shapes))
-        texts = [(x.strip() if isinstance(x, str) else x.digest) for x in node.parts]
-        node.digest = hash((node.tag, *texts)) if any(texts) else 0
-        node.holds = node.tag in ("article", "main") or any(k.holds for k in kids)
+        size, shape, texts, holds = 1, [node.tag], [node.tag], node.tag in ("article", "main")
+        for x in node.parts:
+            if type(x) is str:
+                texts.append(x.strip())
+            else:
+                size += x.size
+                shape.append(x.shape)
+                texts.append(x.digest)
+                holds = holds or x.holds
+        node.size, node.holds = size, holds
+        node.shape = _shapes.setdefault(tuple(shape), len(_shapes))
+        node.digest = hash(tuple(texts)) if any(texts[1:]) else 0
     return root
 
 
@@ -234,7 +240,8 @@ def parse(source: str) -> Node:
 
 def prune(root: Node) -> Node:
     """The tree without elements that never are content. A form or header that holds the article stays."""
-    measured(root)
+    for node in reversed(preorder(root)):
+        node.holds = node.tag in ("article", "main") or any([k.holds for k in node.children()])
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
@@ -428,6 +435,8 @@ def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
 
     def anchors(xs: list[Node], ys: list[Node]) -> list[tuple[int, int]]:
         """Places of the equal children to be paired, in order."""
+        if not ({x.digest for x in xs} & {y.digest for y in ys}) - {0}:
+            return []
         seen_x, seen_y = Counter(x.digest for x in xs), Counter(y.digest for y in ys)
         place = {y.digest: j for j, y in enumerate(ys) if y.digest and seen_y[y.digest] == 1}
         ends_at: list[int] = []  # least last place of a chain of each length
@@ -481,26 +490,47 @@ def _own_text(node: Node) -> str:
     return " ".join("".join(x for x in node.parts if isinstance(x, str)).split())
 
 
-def _shingles(blocks_: list[str]) -> frozenset:
+def _shingles(blocks_: list[str]) -> np.ndarray:
+    """Hashes of all runs of three words, each once."""
     words = " ".join(blocks_).split()
-    return frozenset(zip(words, words[1:], words[2:])) if len(words) > 2 else frozenset([tuple(words)])
+    if len(words) < 3:
+        return np.array([hash(tuple(words))])
+    hashes = np.fromiter(map(hash, words), np.int64, len(words))
+    return np.unique((hashes[:-2] * 3 + hashes[1:-1]) * 5 + hashes[2:])
 
 
-def _overlaps(sets: list[frozenset]) -> np.ndarray:
-    """Jaccard similarity of each two sets; 1 for two empty ones."""
-    index: dict = {}
-    at = [[index.setdefault(x, len(index)) for x in s] for s in sets]
+def _overlaps(sets: list) -> np.ndarray:
+    """Jaccard similarity of each two sets, given as arrays or sets of numbers; 1 for two empty ones."""
+    sizes = np.array([len(s) for s in sets])
+    _, at, seen = np.unique(np.concatenate([np.fromiter(s, np.int64, len(s)) for s in sets]), return_inverse=True, return_counts=True)
+    shared_ones = seen[at] > 1
+    row, at = np.repeat(np.arange(len(sets)), sizes)[shared_ones], (np.cumsum(seen > 1) - 1)[at[shared_ones]]
     shared = np.zeros((len(sets), len(sets)))
-    for low in range(0, len(index), FEATURES):  # features by blocks, so that memory is bounded
-        table = np.zeros((len(sets), min(FEATURES, len(index) - low)), np.float32)
-        for i, row in enumerate(at):
-            row = np.array(row, np.int64) - low
-            table[i, row[(row >= 0) & (row < table.shape[1])]] = 1
+    for low in range(0, int(at.max(initial=-1)) + 1, FEATURES):  # features by blocks, so that memory is bounded
+        here = (at >= low) & (at < low + FEATURES)
+        table = np.zeros((len(sets), int(at[here].max()) - low + 1), np.float32)
+        table[row[here], at[here] - low] = 1
         shared += table @ table.T
-    sizes = np.array([len(s) for s in sets])
+    np.fill_diagonal(shared, sizes)
     return np.where((union := sizes[:, None] + sizes - shared) > 0, shared / np.maximum(union, 1), 1.0)
 
 
+def _near(sets: list[np.ndarray], share: float) -> np.ndarray:
+    """Whether each two sets have ``share`` in common; only sets that hold so much of what others hold are compared."""
+    left, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
+    while len(left):
+        _, at, seen = np.unique(np.concatenate([sets[i] for i in left]), return_inverse=True, return_counts=True)
+        elsewhere = np.add.reduceat((seen[at] > 1).astype(np.int64), np.r_[0, np.cumsum(sizes[left])[:-1]])
+        kept = left[elsewhere >= share * sizes[left]]
+        if len(kept) == len(left):
+            break
+        left = kept
+    near = np.eye(len(sets), dtype=bool)
+    if len(left):
+        near[np.ix_(left, left)] |= _overlaps([sets[i] for i in left]) >= share
+    return near
+
+
 def _clusters(near: np.ndarray) -> np.ndarray:
     """For each row the smallest row that can be reached by links."""
     root = np.arange(len(near))
@@ -522,6 +552,25 @@ def _paths(root: Node) -> frozenset:
     return frozenset(out)
 
 
+@dataclass
+class Evidence:
+    """What pages tell of the nodes of a reference tree, in page order.
+
+    ``pages`` are counted, near-equal ones once in a group; ``differ`` is how many of them surely differ: those of one group, or the references of several.
+    ``texts`` is the commonest text of a node, ``counts`` the pages that have it there, and ``most`` how many of these surely differ. ``mass`` is the length of all text that lies there outside links and marked boxes, ``same`` that
+    of the commonest text.
+    """
+
+    reference: Node
+    pages: int
+    differ: int
+    texts: list[str]
+    counts: list[int]
+    most: list[int]
+    same: list[int]
+    mass: list[int]
+
+
 @dataclass
 class Wrapper:
     """What pages of one structure share: a reference tree, its nodes that are template with their text, and its regions."""
@@ -532,41 +581,85 @@ class Wrapper:
     regions: set[int]
 
 
-def _common_texts(trees: list[Node], pairings: list[list[tuple[Node, Node]]], reference: Node) -> tuple[dict[int, str], int]:
-    """Nodes of the reference whose text is the same on most of the pages, near-equal pages counted once; and the pages so counted."""
-    same: dict[int, list[int]] = {}
-    owner = {id(node): node for node in preorder(reference)}
-    for i, pairs in enumerate(pairings):
-        for ours, theirs in pairs:
-            if (text := _own_text(ours)) and text == _own_text(theirs):
-                same.setdefault(id(ours), []).append(i)
-    least = lambda n: max(TEMPLATE_PAGES, TEMPLATE_SHARE * n)
-    texts = [blocks([tree]) for tree in trees]
-    common = Counter(x for text in texts for x in set(text))
-    own = [[x for x in text if common[x] < least(len(trees))] for text in texts]
-    near = (_overlaps([_shingles(t) for t in texts]) >= NEAR_EQUAL) | (_overlaps([_shingles(t) for t in own]) >= NEAR_REST)
-    copy_of = _clusters(near)
-    n = len(np.unique(copy_of))
-    return {k: _own_text(owner[k]) for k, pages in same.items() if len({int(copy_of[i]) for i in pages}) >= least(n)}, n
-
-
-def _regions(reference: Node, pairings: list[list[tuple[Node, Node]]], trees: list[Node], template: dict[int, str], pages: int) -> list[Node]:
-    """Where the varying text of the pages lies on the reference; links and marked boxes hold none."""
-    nodes = preorder(reference)
-    mass = dict.fromkeys(map(id, nodes), 0)
-    for tree, pairs in zip(trees, pairings):
-        ours_of = {id(theirs): ours for ours, theirs in pairs}
-        stack = [(tree, reference, False)]
+def _near_copies(texts: list[list[str]]) -> np.ndarray:
+    """For the blocks of each page the first page that it is nearly equal to, itself if there is none before it."""
+    least = max(TEMPLATE_PAGES, TEMPLATE_SHARE * len(texts))
+    common = {x for x, n in Counter(x for text in texts for x in set(text)).items() if n >= least}
+    near = _near([_shingles([x for x in text if x not in common]) for text in texts], NEAR_REST)
+    return _clusters(near | _near([_shingles(t) for t in texts], NEAR_EQUAL) if common else near)
+
+
+def observe(trees: list[Node], texts: list[list[str]]) -> Evidence:
+    """The evidence of a group of pages with their blocks, whose texts differ; the largest is the reference."""
+    reference = max(trees, key=lambda t: t.size)
+    place = {id(x): i for i, x in enumerate(preorder(reference))}
+    copies = _near_copies(texts).tolist()
+    holders: list[dict[str, set[int]]] = [{} for _ in place]
+    landed: list[Counter] = [Counter() for _ in place]
+    mass = [0] * len(place)
+    for tree, copy in zip(trees, copies):
+        ours_of = {id(theirs): place[id(ours)] for ours, theirs in match_trees(reference, tree)}
+        stack = [(tree, 0, False, True)]
         while stack:
-            node, at, inside = stack.pop()
-            at = ours_of.get(id(node), at)
-            if node.tag == "a" or is_marked_box(node, inside):
-                continue
-            text = _own_text(node)
-            if template.get(id(at)) != text or ours_of.get(id(node)) is not at:
-                mass[id(at)] += len(text)
+            node, at, inside, counted = stack.pop()
+            own = ours_of.get(id(node))
+            at = at if own is None else own
+            counted = counted and node.tag != "a" and not is_marked_box(node, inside)
+            if text := _own_text(node):
+                if counted:
+                    mass[at] += len(text)
+                if own is not None:
+                    holders[own].setdefault(text, set()).add(copy)
+                    landed[own][text] += len(text) * counted
             inside = inside or node.tag in ("article", "main")
-            stack.extend((x, at, inside) for x in node.children())
+            stack.extend((x, at, inside, counted) for x in node.children())
+    found = [max(((len(pages), text) for text, pages in of.items()), default=(0, "")) for of in holders]
+    counts, pages = [n for n, _ in found], len(set(copies))
+    return Evidence(reference, pages, pages, [t for _, t in found], counts, counts, [c[t] for c, (_, t) in zip(landed, found)], mass)
+
+
+def merged(found: list[Evidence]) -> Evidence:
+    """The evidence of several groups of pages, on the largest of their references."""
+    if len(found) == 1:
+        return found[0]
+    reference = max((e.reference for e in found), key=lambda t: t.size)
+    place = {id(x): i for i, x in enumerate(preorder(reference))}
+    texts: list[dict[str, tuple[int, int, int]]] = [{} for _ in place]
+    holders: list[dict[str, set[int]]] = [{} for _ in place]
+    mass = [0] * len(place)
+    copies = _near_copies([blocks([e.reference]) for e in found]).tolist()
+    for e, copy in zip(found, copies):
+        ours_of = {id(theirs): place[id(ours)] for ours, theirs in match_trees(reference, e.reference)}
+        stack, i = [(e.reference, 0)], 0
+        while stack:
+            node, at = stack.pop()
+            own = ours_of.get(id(node))
+            at = at if own is None else own
+            mass[at] += e.mass[i]
+            if own is not None and e.texts[i]:
+                n, most, same = texts[own].get(e.texts[i], (0, 0, 0))
+                references = holders[own].setdefault(e.texts[i], set())
+                references.add(copy)
+                texts[own][e.texts[i]] = n + e.counts[i], max(most, e.most[i], len(references)), same + e.same[i]
+            stack.extend((x, at) for x in reversed(node.children()))
+            i += 1
+    best = [max(((*of[t], t) for t in of), default=(0, 0, 0, "")) for of in texts]
+    counts, most, same, commonest = map(list, zip(*best))
+    differ = max(len(set(copies)), *(e.differ for e in found))
+    return Evidence(reference, sum(e.pages for e in found), differ, commonest, counts, most, same, mass)
+
+
+def wrapper_of(e: Evidence) -> Wrapper:
+    """Template is what most of the pages have, TEMPLATE_PAGES of them that surely differ."""
+    nodes, least = preorder(e.reference), TEMPLATE_SHARE * e.pages
+    is_template = [n >= least and most >= TEMPLATE_PAGES for n, most in zip(e.counts, e.most)]
+    template = {id(node): text for node, text, yes in zip(nodes, e.texts, is_template) if yes}
+    mass = {id(node): m - same * yes for node, m, same, yes in zip(nodes, e.mass, e.same, is_template)}
+    return Wrapper(e.reference, _paths(e.reference), template, {id(x) for x in _regions(e.reference, nodes, mass, e.differ)})
+
+
+def _regions(reference: Node, nodes: list[Node], mass: dict[int, int], pages: int) -> list[Node]:
+    """Where the varying text of the pages lies on the reference, given its amount for each node."""
     for node in reversed(nodes):
         mass[id(node)] += sum(mass[id(k)] for k in node.children())
     total, marked = mass[id(reference)], marked_parts(reference)
@@ -583,34 +676,48 @@ def _regions(reference: Node, pairings: list[list[tuple[Node, Node]]], trees: li
     return [*titles, node]
 
 
-def learn(trees: list[Node]) -> Wrapper:
-    """The wrapper of pages of one structure, whose texts differ."""
-    reference = max(trees, key=lambda t: t.size)
-    pairings = [match_trees(reference, tree) for tree in trees]
-    template, pages = _common_texts(trees, pairings, reference)
-    return Wrapper(reference, _paths(reference), template, {id(x) for x in _regions(reference, pairings, trees, template, pages)})
+def survey(trees: list[Node]) -> list[Evidence]:
+    """Evidence of all pages of a group together, then that of each structure among them if there are several."""
+    alike: dict[tuple, Node] = {}
+    for tree in trees:
+        alike.setdefault(tuple(blocks([tree])), tree)
+    found = [_paths(tree) for tree in alike.values()]
+    seen = Counter(x for s in found for x in s)
+    kept = [frozenset(x for x in s if seen[x] >= TEMPLATE_PAGES) for s in found]
+    number = {s: i for i, s in enumerate(dict.fromkeys(kept))}
+    roots = _clusters(_overlaps([*number]) >= LIKE_LAYOUT)
+    groups: dict[int, list[tuple]] = {}
+    for page, s in zip(((tree, [*text]) for text, tree in alike.items()), kept):
+        groups.setdefault(int(roots[number[s]]), []).append(page)
+    layouts = [*groups.values()] if len(groups) > 1 else []
+    return [observe(*map(list, zip(*pages))) for pages in ([*zip(alike.values(), map(list, alike))], *layouts)]
+
+
+def join_surveys(surveys: list[list[Evidence]]) -> list[Evidence]:
+    """One survey of the pages of all groups. A structure shares enough paths with the first of its kind; kinds of TEMPLATE_PAGES are kept."""
+    kinds: list[tuple[frozenset, list[Evidence]]] = []
+    for e in (e for found in surveys for e in found[1:] or found):
+        paths = _paths(e.reference)
+        kind = next((k for k in kinds if len(k[0] & paths) >= LIKE_LAYOUT * len(k[0] | paths)), None)
+        if kind is None:
+            kinds.append(kind := (paths, []))
+        kind[1].append(e)
+    layouts = [merged(k) for _, k in kinds] if len(kinds) > 1 else []
+    return [merged([found[0] for found in surveys]), *(e for e in layouts if e.pages >= TEMPLATE_PAGES)]
 
 
 class HostWrapper:
-    """Learned from a sample of a host's pages: one wrapper for all of them, and one for each structure among them."""
-
-    def __init__(self, trees: list[Node]):
-        alike: dict[tuple, Node] = {}
-        for tree in trees:
-            alike.setdefault(tuple(blocks([tree])), tree)
-        distinct = [*alike.values()]
-        found = [_paths(tree) for tree in distinct]
-        seen = Counter(x for s in found for x in s)
-        roots = _clusters(_overlaps([frozenset(x for x in s if seen[x] >= TEMPLATE_PAGES) for s in found]) >= LIKE_LAYOUT)
-        groups = [[tree for tree, r in zip(distinct, roots) if r == root] for root in np.unique(roots)]
-        self.whole = learn(distinct)
-        self.layouts = [learn(group) for group in groups] if len(groups) > 1 else [self.whole]
+    """Learned from the pages of a host: one wrapper for all of them, and one for each structure among them."""
+
+    def __init__(self, found: list[Evidence]):
+        self.whole, *layouts = map(wrapper_of, found)
+        self.layouts = layouts or [self.whole]
 
     def main_text(self, tree: Node) -> str:
         paths = _paths(tree)
         own = max(self.layouts, key=lambda w: len(w.paths & paths) / len(w.paths | paths))
         if len(own.paths & paths) < LEAST_LAYOUT * len(paths):
-            own = learn([tree])
+            own = wrapper_of(observe([tree], [blocks([tree])]))
         gone, roots = set(), []
         for wrapper in {id(self.whole): self.whole, id(own): own}.values():
             for ours, theirs in match_trees(wrapper.reference, tree):
@@ -637,81 +744,94 @@ def tree_of(source: str | None) -> Node:
 
 
 def main_texts(pages: list[str | None]) -> list[str]:
-    """Main text of each page of one host, with the wrapper of the first SAMPLE_PAGES of them. Of a marked article or main part
+    """Main text of each page of one host, with the wrapper of all of them. Of a marked article or main part
     nothing is template but boxes whose words mark them too."""
     trees = [tree_of(source) for source in pages]
-    wrapper = HostWrapper(trees[:SAMPLE_PAGES]) if trees else None
+    wrapper = HostWrapper(survey(trees)) if trees else None
     return [wrapper.main_text(tree) for tree in trees]
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group, lent pages first, and page => ids, hash and text. Equal pages of a group are extracted once.
+TEXTS = "page_id long, url string, common boolean, page long, host string, text string"
+COUNTED = "pages long, differ long, texts array<string>, counts array<long>, most array<long>, same array<long>, mass array<long>"
+SURVEY = f"host string, number long, place int, html string, {COUNTED}"
+_NUMBERS = pa.list_(pa.int64())
+_SURVEY = pa.schema(
+    [("host", pa.string()), ("number", pa.int64()), ("place", pa.int32()), ("html", pa.string()), ("pages", pa.int64()), ("differ", pa.int64()),
+     ("texts", pa.list_(pa.string())), ("counts", _NUMBERS), ("most", _NUMBERS), ("same", _NUMBERS), ("mass", _NUMBERS)]
+)
+
+
+def _different(pages: pa.Table) -> list[str | None]:
+    """The different pages of a group, in an order that follows from them."""
+    found = dict(zip(pages["html"].to_pylist(), pages["page"].to_pylist()))
+    return sorted(found, key=lambda source: (found[source], source or ""))
+
+
+def _survey_rows(host: str, number: int, found: list[Evidence], sources: dict[int, str]) -> pa.Table:
+    rows = [
+        {"host": host, "number": number, "place": i, "html": sources[id(e.reference)], "pages": e.pages, "differ": e.differ, "texts": e.texts,
+         "counts": e.counts, "most": e.most, "same": e.same, "mass": e.mass}
+        for i, e in enumerate(found)
+    ]
+    return pa.Table.from_pylist(rows, _SURVEY)
+
 
-    The first SAMPLE_PAGES different pages of a group give the wrapper; only these are held.
+def _surveys(rows: pa.Table) -> tuple[list[list[Evidence]], dict[int, str]]:
+    """The surveys in rows, in order of their groups, and the sources of their references."""
+    out: dict[int, list[Evidence]] = {}
+    sources = {}
+    for r in sorted(rows.to_pylist(), key=lambda r: (r["number"], r["place"])):
+        tree = tree_of(r["html"])
+        sources[id(tree)] = r["html"]
+        out.setdefault(r["number"], []).append(Evidence(tree, *(r[c] for c in ("pages", "differ", "texts", "counts", "most", "same", "mass"))))
+    return [*out.values()], sources
+
+
+def _survey_group(key: tuple, pages: pa.Table) -> pa.Table:
+    """A group of a host with several => its survey, in which a text that stands on one page only of many is left out."""
+    if pages["groups"][0].as_py() == 1:
+        return _SURVEY.empty_table()
+    _shapes.clear()
+    sources = _different(pages)
+    trees = [tree_of(source) for source in sources]
+    found = survey(trees)
+    for e in found:
+        e.texts = [t if n > 1 or e.pages <= TEMPLATE_PAGES else "" for t, n in zip(e.texts, e.counts)]
+    return _survey_rows(key[0].as_py(), key[1].as_py(), found, {id(t): s or "" for t, s in zip(trees, sources)})
+
+
+def _join_groups(key: tuple, rows: pa.Table) -> pa.Table:
+    """The surveys of JOINED groups of a host => one."""
+    _shapes.clear()
+    surveys, sources = _surveys(rows)
+    return _survey_rows(key[0].as_py(), key[1].as_py(), join_surveys(surveys), sources)
+
+
+def _extract(key: tuple, pages: pa.Table, rows: pa.Table) -> pa.Table:
+    """A group of pages, and its host's survey unless it is the only group => ids, hash and text of each page.
+
+    Equal pages are extracted once.
     """
-    group, wrapper, held, last, text, out, size = None, None, [], None, "", [], 0
-
-    def give(ids: tuple, found: str) -> None:
-        nonlocal size
-        out.append((*ids, group[0], found))
-        size += len(found) + 64
-
-    def batch_of() -> pa.RecordBatch:
-        nonlocal out, size
-        columns = [*zip(*out)] if out else [[]] * 6
-        kinds = (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.string())
-        names = ["page_id", "url", "common", "page", "host", "text"]
-        out, size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
-
-    def open_group() -> None:
-        """Learn from the pages held and give out their texts."""
-        nonlocal wrapper, held
-        if held:
-            wrapper = HostWrapper([tree for tree, _ in held])
-            for tree, rows in held:
-                found = wrapper.main_text(tree) if rows else ""
-                for ids in rows:
-                    give(ids, found)
-            held = []
-
-    for batch in batches:
-        for row in zip(*(batch.column(i) for i in range(8))):
-            host, number, lent, page, source, *ids = (x.as_py() for x in row)
-            if (host, number) != group:
-                if group is not None:
-                    open_group()
-                group, wrapper, last = (host, number), None, None
-                _shapes.clear()
-            same = last is not None and source == last[0]
-            last = (source,)
-            row_ids = (*ids, page)
-            if wrapper is None:
-                if not same and len(held) == SAMPLE_PAGES:
-                    open_group()
-                elif not same:
-                    held.append((tree_of(source), []))
-                if wrapper is None:
-                    if not lent:
-                        held[-1][1].append(row_ids)
-                    continue
-            if not lent:
-                if not same:
-                    text = wrapper.main_text(tree_of(source))
-                give(row_ids, text)
-            if size > 8 << 20 or len(out) > 4096:
-                yield batch_of()
-    if group is not None:
-        open_group()
-    yield batch_of()
+    _shapes.clear()
+    sources = _different(pages)
+    if rows.num_rows:
+        wrapper = HostWrapper(_surveys(rows)[0][0])
+        texts = {source: wrapper.main_text(tree_of(source)) for source in sources}
+    else:
+        trees = [tree_of(source) for source in sources]
+        wrapper = HostWrapper(survey(trees)) if trees else None
+        texts = {source: wrapper.main_text(tree) for source, tree in zip(sources, trees)}
+    found = pa.array([texts[source] for source in pages["html"].to_pylist()], pa.string())
+    return pages.select(["page_id", "url", "common", "page", "host"]).append_column("text", found)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` => one row per page: ``page_id``, ``url`` and ``text``.
 
-    A host's wrapper is learned from its SAMPLE_PAGES different pages of the smallest hashes, and applied to all. The different
-    pages of a large host are dealt by that hash into groups of GROUP_PAGES or more, each of which is lent the sample, so a host of
-    any size spreads over tasks and the result depends on the rows alone. Copies of a page are extracted once; a page that holds at
+    A host's wrapper is learned from all its different pages, and applied to all. Those of a large host are dealt by a seeded hash into
+    groups of GROUP_PAGES or more; each group counts its pages against a reference of its own, the counts of JOINED groups, then of JOINED of
+    these and so on, are added up, and each group gets the host's wrapper. So a host of any size spreads over tasks and the result depends on the rows alone. Near-equal pages are
+    counted once in a group. Copies of a page are extracted once; a page that holds at
     least one row in HOT_SHARE stands in its group once, and its rows get their text by a join. A null page or one without content
     has the empty text; null urls are a host of their own. Repeated rows are extracted each for itself. Extra columns are
     ignored, and an empty table gives an empty result.
@@ -720,12 +840,11 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     place = F.xxhash64(F.lit(GROUP_SEED), row_hash("html"))
     keyed = pages.select(host.alias("host"), place.alias("page"), "html", F.col("page_id").cast("long").alias("page_id"), "url")
     count = F.count(F.lit(1))
-    copies = materialize(keyed.groupBy("host", "page").agg(count.alias("n")), "page-copies")
-    hosts = copies.groupBy("host").agg(F.floor(count / GROUP_PAGES).alias("groups")).where("groups > 1")
+    copies = keyed.groupBy("host", "page").agg(count.alias("n"), F.max(F.coalesce(F.length("html"), F.lit(0))).alias("chars"))
+    copies = materialize(copies, "page-copies")
+    by_size = F.greatest(count / GROUP_PAGES, F.least(F.sum("chars") / GROUP_CHARS, count / LEAST_PAGES))
+    hosts = copies.groupBy("host").agg(F.floor(by_size).alias("groups")).where("groups > 1")
     hosts = materialize(hosts, "large-hosts")
-    by_hash = F.row_number().over(Window.partitionBy("host").orderBy("page"))
-    sample = copies.join(hosts, "host", "left_semi").select("host", "page", by_hash.alias("nth")).where(F.col("nth") <= SAMPLE_PAGES)
-    sample = materialize(sample.select("host", "page"), "sample-pages")
     total = copies.agg(F.sum("n")).first()[0] or 0
     # at most HOT_SHARE pages, whatever the input
     common = copies.where((F.col("n") > COPIES) & (F.col("n") * HOT_SHARE >= total)).select("host", "page")
@@ -738,18 +857,18 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         dealt = rest.unionByName(once.withColumns(nobody))
     else:
         dealt = keyed.withColumn("common", F.lit(False))
-    number = F.pmod("page", F.coalesce("groups", F.lit(1)))
-    dealt = dealt.join(hosts, "host", "left").withColumns({"number": number, "lent": F.lit(False)}).drop("groups")
-    if not sample.isEmpty():
-        picked = keyed.join(sample, ["host", "page"]).groupBy("host", "page").agg(F.first("html").alias("html"))
-        numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))
-        picked = picked.join(hosts, "host").withColumn("number", numbers).drop("groups")
-        dealt = dealt.unionByName(picked.withColumns({**nobody, "common": F.lit(False), "lent": F.lit(True)}))
-    dealt = dealt.select("host", "number", "lent", "page", "html", "page_id", "url", "common").repartition("host", "number")
-    order = ["host", "number", F.desc("lent"), "page", "html", "page_id", "url"]
-    found = dealt.sortWithinPartitions(*order).mapInArrow(
-        _extract, "page_id long, url string, common boolean, page long, host string, text string"
-    )
+    groups = F.coalesce("groups", F.lit(1).cast("long"))
+    dealt = dealt.join(hosts, "host", "left").withColumns({"groups": groups, "number": F.pmod("page", groups)})
+    # read twice, by the surveys and the extraction, but shuffled once
+    dealt = dealt.select("host", "number", "groups", "page", "html", "page_id", "url", "common").repartition("host", "number").groupBy("host", "number")
+    of_hosts, left = dealt.applyInArrow(_survey_group, SURVEY), hosts.agg(F.max("groups")).first()[0] or 0
+    while left > 1:
+        block = F.floor(F.col("number") / JOINED).alias("block")
+        of_hosts, left = of_hosts.groupBy("host", block).applyInArrow(_join_groups, SURVEY), -(-left // JOINED)
+    of_hosts = of_hosts.drop("number")
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("number")
+    lent = of_hosts.join(hosts, "host").select("host", numbers, *[c for c in of_hosts.columns if c != "host"])
+    found = dealt.cogroup(lent.groupBy("host", "number")).applyInArrow(_extract, TEXTS)
     if not some:
         return found.select("page_id", "url", "text")
     found = materialize(found, "page-texts")

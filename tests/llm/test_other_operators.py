@@ -169,6 +169,28 @@ def test_result_does_not_depend_on_partitions_or_groups(spark, monkeypatch):
     spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def test_all_pages_of_a_large_host_count(spark, monkeypatch):
+    # one page in twenty has another layout, so that a few pages of a host need not show its template
+    one = "<body><div><p>Welcome to the shop</p></div><div><p>{}</p></div></body>"
+    two = "<body><table><tr><td>Notes of the week</td><td><ul><li>{}</li></ul></td></tr></table></body>"
+    rows = [(i, "http://one.example/", (one if i % 20 else two).format(prose(i, 20))) for i in range(600)]
+    copies = [(i, "http://copies.example/", one.format(f"{prose(1, 30)} edit{i}")) for i in range(600, 900)]
+    want = {i: prose(i, 20) for i in range(600)} | {i: f"Welcome to the shop {prose(1, 30)} edit{i}" for i in range(600, 900)}
+    df = spark.createDataFrame(rows + copies, "page_id long, url string, html string")
+    for group, joined in ((512, 64), (100, 64), (16, 4)):
+        monkeypatch.setattr(html_extract, "GROUP_PAGES", group)
+        monkeypatch.setattr(html_extract, "JOINED", joined)
+        assert {r["page_id"]: r["text"] for r in html_extract.extract_main_text(df).collect()} == want
+
+
+def test_joined_surveys_count_as_one():
+    page = "<body><div><p>Welcome to the shop</p></div><div><p>{}</p></div></body>"
+    trees = [html_extract.tree_of(page.format(prose(i, 20))) for i in range(30)]
+    whole, parts = html_extract.survey(trees), [html_extract.survey(trees[i::3]) for i in range(3)]
+    (a,), (b,) = whole, html_extract.join_surveys(parts)
+    assert (a.pages, a.mass, max(a.counts)) == (b.pages, b.mass, max(b.counts)) and a.pages == 30
+
+
 def brute_matching(a, b):
     if a.tag != b.tag:
         return 0
