@@ -1,8 +1,8 @@
 """How far the sources of a language differ in their words: a sort-based, streaming audit.
 
-Tasks count the terms of stretches of documents. These counts are dealt by range of (term, lang, source, document) and sorted so in
-each partition; a scan over the runs gives document frequency and count of a term in a source. As the range ends inside a run, no term is too
-frequent for a task; runs that a border cuts are added up afterwards. A second sort, by term within units of two blocks of sources and a
+Tasks count the terms of stretches of documents. These counts are dealt by range of a number and sorted by it in each partition: a hash of
+term and language, then one of the source. A scan over the runs gives document frequency and count of a term in a source. As the range ends
+between the sources of a term, no term is too frequent for a task; runs that a border or equal hashes cut are added up afterwards. A second sort, by term within units of two blocks of sources and a
 share of the terms, is scanned in the same way: each run of a term adds to the partial sums of all pairs of the two blocks, and the
 unit emits them once.
 """
@@ -16,7 +16,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +25,8 @@ from evgraph.llm.common import materialize, read_table
 TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)).lower()
 #: A task's counts are sent on when they hold so many terms; a text is read in pieces of so many bytes.
 HELD_TERMS, PIECE = 800_000, 1 << 22
+#: Low bits of the number that counts are sorted by, those of the source; the others are of term and language.
+SOURCE_BITS = 24
 #: Sources of a block, on average, and rows of a unit. A run of a term in a unit has two blocks' sources at most.
 SOURCE_BLOCK, UNIT_ROWS = 256, 1 << 17
 #: Probabilities are in parts of this.
@@ -54,10 +55,10 @@ def pieces_of(text: bytes) -> Iterator[bytes]:
 
 
 def _count_terms(most: int) -> Callable:
-    """Batches of (lang, source, text) => counts of terms for each stretch of documents, named by its first one; ``most`` terms are held."""
+    """Batches of (lang, source, text) => counts of terms for each stretch of documents; ``most`` terms are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, document, first, held = TaskContext.get().partitionId(), 0, 0, 0
+        held = 0
         groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -65,11 +66,8 @@ def _count_terms(most: int) -> Callable:
                 size = len(docs)
                 terms = pa.array(list(docs), pa.binary())
                 same = [pa.repeat(pa.scalar(v), size) for v in (lang, source)]
-                numbers = [pa.repeat(pa.scalar((partition << 40) + first), size), pa.array(list(docs.values()), pa.int64())]
-                yield pa.RecordBatch.from_arrays(
-                    [same[0], terms, same[1], *numbers, pa.array([counts[t] for t in docs], pa.int64())],
-                    ["lang", "term", "source", "document", "docs", "n"],
-                )
+                numbers = [pa.array(of, pa.int64()) for of in (list(docs.values()), [counts[t] for t in docs])]
+                yield pa.RecordBatch.from_arrays([same[0], terms, same[1], *numbers], ["lang", "term", "source", "docs", "n"])
             groups.clear()
 
         for batch in batches:
@@ -85,21 +83,20 @@ def _count_terms(most: int) -> Callable:
                     counts.update(terms)
                     seen.update(terms)
                 docs.update(seen)
-                document += 1
                 held += len(docs) - before
                 if held >= most:
                     yield from flush()
-                    held, first = 0, document
+                    held = 0
         yield from flush()
 
     return run
 
 
 def _scan_runs(min_docs: int) -> Callable:
-    """Sorted (term, lang, source, docs, n) => one row for each run of the first three, as they end.
+    """Sorted (run, term, lang, source, docs, n) => one row for each run of the middle three, as they end.
 
-    Terms in fewer than ``min_docs`` documents of a language are left out, but for the first and the last term of a partition, which others may
-    hold too.
+    ``run`` is a number of term and language, and may be that of several. Those in fewer than ``min_docs`` documents together are left out, but for
+    the first and the last number of a partition, which others may hold too.
     """
     key = ["term", "lang", "source"]
 
@@ -114,10 +111,10 @@ def _scan_runs(min_docs: int) -> Callable:
     def summed(table: pa.RecordBatch) -> pa.RecordBatch:
         starts = runs_of(table, key)
         sums = [pa.array(np.add.reduceat(table[c].to_numpy(), starts)) for c in ("docs", "n")]
-        return pa.RecordBatch.from_arrays([*(table[c].take(pa.array(starts)) for c in key), *sums], [*key, "docs", "n"])
+        return pa.RecordBatch.from_arrays([*(table[c].take(pa.array(starts)) for c in ("run", *key)), *sums], ["run", *key, "docs", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at_border = None, True  # the runs of the last term so far
+        held, at_border = None, True  # the runs of the last number so far
 
         for batch in batches:
             if not batch.num_rows:
@@ -125,16 +122,16 @@ def _scan_runs(min_docs: int) -> Callable:
             runs = summed(batch)
             if held is not None:
                 runs = summed(pa.concat_batches([held, runs]))
-            terms = runs_of(runs, key[:2])
+            terms = runs_of(runs, ["run"])
             held = runs.slice(terms[-1])
             if len(terms) > 1:
                 ended = runs.slice(0, terms[-1])
                 kept = np.add.reduceat(ended["docs"].to_numpy(), terms[:-1]) >= min_docs
                 kept[0] |= at_border
                 at_border = False
-                yield ended.filter(pa.array(np.repeat(kept, np.diff(terms))))
+                yield ended.filter(pa.array(np.repeat(kept, np.diff(terms)))).drop_columns(["run"])
         if held is not None:
-            yield held
+            yield held.drop_columns(["run"])
 
     return run
 
@@ -220,12 +217,14 @@ def term_counts(docs: DataFrame, min_docs: int) -> DataFrame:
 
     All terms in ``min_docs`` or more documents of a language are there, and few others.
     """
-    schema = "lang string, term binary, source string, document long, docs long, n long"
+    schema = "lang string, term binary, source string, docs long, n long"
     counted = docs.select("lang", "source", "text").mapInArrow(_count_terms(HELD_TERMS), schema)
     counted = materialize(counted.withColumn("term", F.col("term").cast("string")), "term-counts")
-    order = ["term", "lang", "source", "document"]  # terms first, since their first letters settle most comparisons
-    ranged = counted.repartitionByRange(*order).sortWithinPartitions(*order)
-    runs = ranged.select("term", "lang", "source", "docs", "n").mapInArrow(_scan_runs(min_docs), "term string, lang string, source string, docs long, n long")
+    low = (1 << SOURCE_BITS) - 1
+    run = F.xxhash64("lang", "term").bitwiseAND(F.lit(~low))
+    number = run.bitwiseOR(F.xxhash64("source").bitwiseAND(F.lit(low)))  # one number, so that no texts are compared in sorting
+    ranged = counted.repartitionByRange(number).sortWithinPartitions(number)
+    runs = ranged.select(run.alias("run"), "term", "lang", "source", "docs", "n").mapInArrow(_scan_runs(min_docs), "term string, lang string, source string, docs long, n long")
     return runs.groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 

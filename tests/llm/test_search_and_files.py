@@ -145,6 +145,19 @@ def odd_documents():
     return docs
 
 
+def test_counts_are_sorted_by_one_number_that_several_terms_may_have(spark, monkeypatch, capsys):
+    docs = odd_documents()
+    df = spark.createDataFrame(docs, "lang string, source string, text string").repartition(5)
+    for bits in (24, 60, 63):
+        monkeypatch.setattr(divergence, "SOURCE_BITS", bits)
+        monkeypatch.setattr(divergence, "HELD_TERMS", 7)
+        assert sorted(tuple(r) for r in divergence.divergences(df).collect()) == audited(docs, divergence.Audit())
+    plain = df.select(*[F.coalesce(c, F.lit("")).alias(c) for c in df.columns])
+    divergence.term_counts(plain, 10).explain()
+    sorts = [line.split("Sort [", 1)[1].split("]")[0] for line in capsys.readouterr().out.splitlines() if "- Sort [" in line]
+    assert len(sorts) == 1 and sorts[0].count("NULLS FIRST") == 1 and "xxhash64" in sorts[0]
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_divergences_are_those_of_plain_counts(spark, small, monkeypatch):
     if small:  # several blocks of sources, parts of terms, flushes and pieces
