@@ -107,14 +107,17 @@ def _to_anchors(max_distance: int, home: bool) -> Callable:
 
 
 def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """``fps(fp)`` of distinct longs => each pair ``(u, v)``, u < v, at ``max_distance`` (3 at most) bits or fewer."""
+    """``fps(fp)`` of distinct longs => each pair ``(u, v)``, u < v, at ``max_distance`` (3 at most) bits or fewer.
+
+    Spark sizes the homes and anchors by the rows that go in, but many come out of each; so neither side may be broadcast.
+    """
     if not 0 <= max_distance <= 3:
         raise ValueError("the anchors cover distances of 3 bits at most")
     schema, fps = "anchor long, rest long, fp long", fps.select("fp")
     home = fps.mapInArrow(_to_anchors(max_distance, True), schema).withColumnRenamed("fp", "u")
     near = fps.mapInArrow(_to_anchors(max_distance, False), schema).withColumnRenamed("fp", "v")
     close = F.expr(f"u < v AND bit_count(u ^ v) <= {max_distance}")
-    return home.join(near, ["anchor", "rest"]).where(close).select("u", "v").distinct()
+    return home.join(near.hint("merge"), ["anchor", "rest"]).where(close).select("u", "v").distinct()
 
 
 def group_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from evgraph.llm import byte_bpe, components, exact_dedup, language_id, line_dedup, mixing, packing, sharding, simhash
-from evgraph.llm.common import TASK_BYTES, deal, fresh_path, in_order, number_copies
+from evgraph.llm.common import TASK_BYTES, deal, fresh_path, in_order, materialize, number_copies
 from tests.llm.conftest import sentence
 
 BIG = 1 << 62
@@ -247,6 +247,13 @@ def test_no_link_is_lost(spark, distance):
     assert {(r["u"], r["v"]) for r in found} == want and len(found) == len(want)
 
 
+def test_links_are_never_broadcast(spark):
+    """Many homes and anchors come out of a row, which Spark's sizes don't tell."""
+    stored = materialize(spark.createDataFrame([(v,) for v in range(50)], "fp long"), "fps")
+    plan = simhash.links(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_one_of_each_near_group_stays(docs, no_docs, doc_rows):
     out = simhash.keep_one_of_each(docs)
     comps = {r["root"]: r["component_id"] for r in simhash.group_near_duplicates(docs).collect()}
