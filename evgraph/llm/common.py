@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evgraph.plans.shared import fresh_path, hadoop_path, materialize
+from evgraph.plans.shared import fresh_path, hadoop_path
 
 __all__ = [
     "HOT_SHARE", "WORD", "WS", "boxed", "deal", "free_name", "fresh_path", "in_order", "lookup", "materialize", "note",
@@ -24,6 +24,13 @@ COPIES, COPY_BLOCK = 64, 1 << 16
 TASK_BYTES = 256 << 20
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back; shuffle files stay for what else runs on ``df``."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
