@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from evgraph.operators.graph import adjacency
+from evgraph.operators.paths import BROADCAST_IDS
 from evgraph.operators.skew import split_join
 from evgraph.plans.shared import fresh_path, hadoop_path, materialize
 from evgraph.plans.stored import buckets_for, lookup_rows, numbered, read_bucketed, write_bucketed
@@ -23,6 +24,22 @@ from evgraph.plans.stored import buckets_for, lookup_rows, numbered, read_bucket
 BLOCK, PIECE = 1 << 12, 1 << 10
 
 
+def _marked(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``arcs`` with ``from_known`` and ``to_known``, whether their ends are nodes.
+
+    Ends that are no nodes are looked for among the different ids, and arcs move only if there are many of these.
+    """
+    # arcs go both ways, so each end is the start of one
+    ends = arcs.select(F.col("from_id").alias("id")).distinct()
+    unknown = materialize(ends.join(nodes.select("id"), "id", "left_anti"), "unknown-ends")
+    few = unknown.count() <= BROADCAST_IDS
+    for end in ("from", "to"):
+        ids = unknown.select(F.col("id").alias(f"{end}_id"), F.lit(False).alias(f"{end}_known"))
+        arcs = arcs.join(F.broadcast(ids), f"{end}_id", "left") if few else split_join(arcs, ids, f"{end}_id", ["seq"], "left")
+        arcs = arcs.withColumn(f"{end}_known", F.coalesce(f"{end}_known", F.lit(True)))
+    return arcs
+
+
 @dataclass
 class AdjacencyIndex:
     """``blocks(from_id, block, from_known, n, arcs)`` and ``offsets(from_id, block, start, n)``."""
@@ -37,18 +54,18 @@ class AdjacencyIndex:
         Ends that are no nodes keep their arcs, with a mark. Edges with equal ids are arcs each; arcs from or to a null id are left out.
         """
         path, spark = path.rstrip("/"), nodes.sparkSession
-        arcs = adjacency(nodes, edges).where("from_id IS NOT NULL AND to_id IS NOT NULL")
-        for end in ("from", "to"):
-            known = nodes.where("id IS NOT NULL").select(F.col("id").alias(f"{end}_id"), F.lit(True).alias(f"{end}_known")).distinct()
-            arcs = split_join(arcs, known, f"{end}_id", ["edge_id"], "left").withColumn(f"{end}_known", F.coalesce(f"{end}_known", F.lit(False)))
-        placed = numbered(arcs.select("from_id", "seq", "to_id", "from_known", "to_known"), ["from_id", "seq", "to_id"], "index-arcs")
+        arcs = adjacency(nodes, edges).where("from_id IS NOT NULL AND to_id IS NOT NULL").select("from_id", "seq", "to_id")
+        arcs = _marked(arcs, nodes)
+        placed = numbered(arcs, ["from_id", "seq", "to_id"], "index-arcs")
         arc = F.struct("number", "to_id", "to_known", "seq")
-        blocks = placed.groupBy("from_id", F.floor(F.col("number") / block).alias("block")).agg(
+        buckets = buckets or buckets_for(placed.count())
+        # arcs move once more, to the task that writes their blocks
+        placed = placed.withColumn("block", F.floor(F.col("number") / block)).withColumn("_piece", F.floor(F.col("block") / PIECE))
+        blocks = placed.repartition(buckets, "from_id", "_piece").groupBy("from_id", "_piece", "block").agg(
             F.first("from_known").alias("from_known"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(arc)).alias("arcs")
         )
-        blocks = blocks.withColumn("arcs", F.transform("arcs", lambda a: a.dropFields("number")))
-        buckets = buckets or buckets_for(placed.count())
-        stored = write_bucketed(blocks, f"{path}/blocks", "from_id", ["block"], buckets, F.floor(F.col("block") / PIECE))
+        blocks = blocks.drop("_piece").withColumn("arcs", F.transform("arcs", lambda a: a.dropFields("number")))
+        stored = write_bucketed(blocks, f"{path}/blocks", "from_id", ["block"], buckets, dealt=True)
         # a row for each BLOCK arcs
         before = Window.partitionBy("from_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         starts = stored.select("from_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), "n")

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from evgraph.operators import paths
+from evgraph.operators import adjacency_index, paths
 from evgraph.plans.shared import materialize
 from evgraph.plans.stored import write_bucketed
 from evgraph.sources import tabular
@@ -44,3 +44,21 @@ def test_large_tables_of_the_graph_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(tabular, "BROADCAST_BYTES", 0)
     plan = tabular.edges(spark, "/root/testdata/sf0.001").where("kind = 'references'")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_arcs_of_an_index_move_twice_at_most(spark, tmp_path, monkeypatch):
+    """Once to be numbered and once to their buckets; marks of unknown ends leave them where they are."""
+    plans, write = [], adjacency_index.write_bucketed
+
+    def watched(rows, path, *args, **more):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(rows, path, *args, **more)
+
+    monkeypatch.setattr(adjacency_index, "write_bucketed", watched)
+    graph = tabular.graph(spark, "/root/testdata/sf0.001")
+    edges = graph.edges.where("kind = 'contains'")
+    edges = edges.unionByName(edges.limit(3).withColumn("dst", F.lit("class:none")))
+    index = adjacency_index.AdjacencyIndex.build(graph.nodes, edges, str(tmp_path / "arcs"), buckets=4)
+    assert plans[0].count("Exchange hashpartitioning") == 1
+    marks = index._unpacked(index.blocks).where("to_id = 'class:none' OR from_id = 'class:none'")
+    assert {(r["from_id"] != "class:none", r["from_known"], r["to_known"]) for r in marks.collect()} == {(True, True, False), (False, False, True)}
