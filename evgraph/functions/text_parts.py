@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evgraph.functions.canonical import edge_json, node_json
-from evgraph.plans.shared import materialize
-from evgraph.plans.stored import numbered
+from evgraph.plans.shared import fresh_path, materialize
+from evgraph.plans.stored import MIN_BUCKETS, numbered, write_bucketed
 
 #: Pieces of a part, and children of a node of the tree over the parts.
 PIECES, FAN = 1024, 1024
+#: Pieces that one task puts together, some 100 MB of text.
+BUCKET_PIECES = 1 << 18
 
 
 def _pieces(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -26,16 +28,32 @@ def _pieces(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.unionByName(nodes.select(F.lit(3).alias("section"), node_json().alias("json")))
 
 
-def document_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``part`` (from 0), ``text``, ``bytes`` (UTF-8) and ``sha256``: the texts one after the other are the graph's canonical JSON."""
+def _parts(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """``part`` and ``text``, dealt by the part, and the number of buckets that they are dealt to."""
     placed = numbered(_pieces(nodes, edges), ["section", "json"], "ordered-pieces", "place")
     firsts = placed.groupBy("section").agg(F.min("place").alias("first"))  # five rows
+    buckets = max(MIN_BUCKETS, -(-placed.count() // BUCKET_PIECES))
     comma = F.col("section").isin(1, 3) & (F.col("place") > F.col("first"))
     text = F.when(comma, F.concat(F.lit(","), "json")).otherwise(F.col("json"))
-    placed = placed.join(F.broadcast(firsts), "section").select("place", text.alias("text"))
+    placed = placed.join(F.broadcast(firsts), "section").select("place", text.alias("text"), F.floor(F.col("place") / PIECES).alias("part"))
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda p: p["text"])
-    parts = placed.groupBy(F.floor(F.col("place") / PIECES).alias("part")).agg(F.array_join(pieces, "").alias("text"))
-    return materialize(parts.select("part", "text", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256")), "text-parts")
+    return placed.repartition(buckets, "part").groupBy("part").agg(F.array_join(pieces, "").alias("text")), buckets
+
+
+def document_parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``part`` (from 0), ``text``, ``bytes`` (UTF-8) and ``sha256``: the texts one after the other are the graph's canonical JSON.
+
+    The table is in buckets of the part, so that a join by it leaves the texts where they are.
+    """
+    parts, buckets = _parts(nodes, edges)
+    parts = parts.select("part", "text", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    return write_bucketed(parts, fresh_path(nodes.sparkSession, "text-parts"), "part", [], buckets, dealt=True)
+
+
+def part_hashes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``part``, ``bytes`` and ``sha256`` of ``document_parts``, whose texts are not kept."""
+    parts, _ = _parts(nodes, edges)
+    return materialize(parts.select("part", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256")), "part-hashes")
 
 
 def levels_over(parts: DataFrame) -> list[DataFrame]:
