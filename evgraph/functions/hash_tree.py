@@ -16,6 +16,8 @@ from evgraph.plans.shared import materialize
 
 #: Records of a leaf, at most on average.
 LEAF_ROWS = 1024
+#: Levels that a tree may have; with LEAF_ROWS records a leaf, enough for 10^17 records.
+MAX_DEPTH = 12
 
 
 def depth_of(rows: int) -> int:
@@ -26,14 +28,16 @@ def depth_of(rows: int) -> int:
     return depth
 
 
-def placed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``part``, ``id``, ``sha256`` (of the record) and ``place`` of each record."""
-    rows = canonical_rows(nodes, edges).select("part", "id", "sha256")
+def placed(nodes: DataFrame, edges: DataFrame, *more: str) -> DataFrame:
+    """``part``, ``id``, ``sha256`` (of the record) and ``place`` of each record, with ``more`` of its columns."""
+    rows = canonical_rows(nodes, edges, *more).select("part", "id", "sha256", *more)
     return rows.withColumn("place", F.sha2(F.concat_ws(":", "part", "id"), 256))
 
 
 def _leaves(rows: DataFrame, depth: int) -> DataFrame:
-    digests = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "sha256"))), "\n")
+    # digests move as bytes, whose order is that of their text
+    digests = F.array_sort(F.collect_list(F.struct("part", F.unhex("sha256").alias("sha"))))
+    digests = F.array_join(F.transform(digests, lambda x: F.concat_ws(":", x["part"], F.lower(F.hex(x["sha"])))), "\n")
     leaves = rows.groupBy(F.substring("place", 1, depth).alias("prefix")).agg(F.count(F.lit(1)).alias("rows"), F.sha2(digests, 256).alias("hash"))
     return leaves.select(F.lit(depth).alias("level"), "prefix", "rows", "hash")
 
@@ -45,6 +49,12 @@ def _parents(level: DataFrame, depth: int) -> DataFrame:
     return nodes.select(F.lit(depth).alias("level"), F.col("parent").alias("prefix"), "rows", "hash")
 
 
+def leaf_rows(nodes: DataFrame, edges: DataFrame, *more: str) -> DataFrame:
+    """What ``build`` needs of ``placed`` records, as a table: the graph is computed once for the count and for all trees."""
+    rows = placed(nodes, edges, *more).withColumn("sha", F.unhex("sha256")).withColumn("place", F.substring("place", 1, MAX_DEPTH))
+    return materialize(rows.select("part", "sha", "place", *more), "hash-rows", "zstd").withColumn("sha256", F.lower(F.hex("sha")))
+
+
 def build(rows: DataFrame, depth: int) -> DataFrame:
     """``placed`` records => ``level`` (0 at the root), ``prefix``, ``rows`` and ``hash`` of each node that holds any."""
     level = materialize(_leaves(rows, depth), "hash-leaves")
